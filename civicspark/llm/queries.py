@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_files, warc
+from . import media_avi, packing, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_media_avi")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.media_features(media_avi.store_media(_table(spark, sf_dir, "documents")))
+
+
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
