@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -53,14 +52,19 @@ def gzip_member(data: bytes, level: int = 4) -> bytes:
     return out if not out[-1] else out + zlib.compress(b"", 0, wbits=31)
 
 
-def gzip_members(data: bytes) -> Iterator[bytes]:
-    at = memoryview(data)
-    while len(at):
-        inflate = zlib.decompressobj(31)
-        out = inflate.decompress(at) + inflate.flush()
-        if out:
-            yield out
-        at = at[len(at) - len(inflate.unused_data) :]
+def gzip_members(data: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The members one after another; what is fed past a member's end is at most one step."""
+    at = 0
+    while at < len(data):
+        inflate, out = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a member")
+            out.append(inflate.decompress(data[at : at + step]))
+            at = min(at + step, len(data))
+        at -= len(inflate.unused_data)
+        if record := b"".join(out):
+            yield record
 
 
 def parse_record(record: bytes) -> tuple[bytes, dict[str, str], bytes]:
@@ -80,14 +84,14 @@ _PACKED = pa.schema([("member", pa.binary())])
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            page_id, url, payload, sha256, refers_to = r
-            kind = "response" if refers_to is None else "revisit"
-            block = payload if refers_to is None else b""
-            head = record_headers(kind, page_id, url, sha1_base32(payload), sha256, refers_to, len(block))
-            out.append(gzip_member(head + block + b"\r\n\r\n")[:-1])
-        yield batch({"member": out}, _PACKED)
+        for lo in range(0, b.num_rows, 512):
+            out = []
+            for page_id, url, payload, sha256, refers_to in zip(*(c.to_pylist() for c in b.slice(lo, 512).columns), strict=True):
+                kind = "response" if refers_to is None else "revisit"
+                block = payload if refers_to is None else b""
+                head = record_headers(kind, page_id, url, sha1_base32(payload), sha256, refers_to, len(block))
+                out.append(gzip_member(head + block + b"\r\n\r\n")[:-1])
+            yield batch({"member": out}, _PACKED)
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -119,7 +123,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in b.column(0):
             rows: list[tuple] = []
             held = 0
-            for record in gzip_members(content.as_buffer()):
+            for record in gzip_members(memoryview(content.as_buffer())):
                 head, fields, block = parse_record(record)
                 kind = fields["warc-type"]
                 sha1, sha256 = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-block-digest"].removeprefix("sha256:")
