@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media_avi, packing, sharding, token_files, warc
+from . import html_text, media_avi, packing, quality_cnn, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_cnn")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_cnn.score_documents(docs, quality_cnn.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 @query("op2_media_avi")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.media_features(media_avi.store_media(_table(spark, sf_dir, "documents")))
