@@ -15,6 +15,8 @@ Readers memory-map the files.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -29,44 +31,93 @@ from .common import batch, shared_dir, text_bytes
 
 #: Text bytes that a part holds about.
 PART_BYTES = 32 << 20
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1 << 20
+#: Words, and as many of their stems, whose ids a Python worker remembers.
+CACHE_WORDS = 1 << 19
 
-_tokenizers: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Latin letters that one composed code point stands for, with a tail of punctuation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: What byte-level vocabularies write for each byte: itself where it prints, else the next free code point from 256.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTS))}
 
+_coders: dict[tuple[str, str], _Coder] = {}
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
 
+class _Coder:
+    """Encodes texts with a tokenizer of the tokenizers library and remembers words.
+
+    Where the vocabulary drops white space, no token crosses it, so each distinct word is encoded
+    once; ASCII white space parts words here, any other stays inside one, for the library to treat.
+    Where it also lowers case and parts letters from punctuation, which a few probes tell, the stem
+    of a plain word goes to the library's model without its slower preparation of text.
+    """
+
+    def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
-
-
-def encode_words(texts: list[bytes], path: str, dtype: str) -> list[bytes]:
-    """The ids of each text. No token of a vocabulary that drops white space crosses it, so each
-    distinct word is encoded once and remembered; ASCII white space parts words here, any other
-    stays inside a word, for the library to treat."""
-    tokenizer, known = _tokenizer(path)
-    out = []
-    for text in texts:
-        words = text.split()
-        try:
-            out.append(b"".join([known[w] for w in words]))
-            continue
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype).tobytes()
-        out.append(b"".join([known[w] for w in words]))
-    return out
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        probe = ["Stem", "stem,", "ÉTÉ...", "Œuvre!?", "größe", "a"]
+        self.by_word = self._library([" \n", " ".join(probe)]) == [b"", b"".join(self._library(probe))]
+        self.by_stem = self.by_word and all(self._plain(w) == x for w, x in zip(probe, self._library(probe), strict=True))
+        self.words.clear()
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stem(self, stem: str) -> bytes:
+        found = self.stems.get(stem)
+        if found is None:
+            if len(self.stems) >= CACHE_WORDS:
+                self.stems.clear()
+            spelled = stem if stem.isascii() else "".join([_BYTE[b] for b in stem.encode()])
+            found = self.stems[stem] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+        return found
+
+    def _plain(self, word: str) -> bytes | None:
+        m = _PLAIN.fullmatch(word)
+        if m is None:
+            return None
+        stem, tail = m.groups()
+        if not tail:
+            return self._stem(stem.lower())
+        if tail not in self.stems:  # no stem holds punctuation
+            self.stems[tail] = self._library([tail])[0]
+        return self._stem(stem.lower()) + self.stems[tail]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return self._library([t.decode() for t in texts])
+        out = []
+        for text in texts:
+            words = text.split()
+            ids = list(map(self.words.get, words))
+            if None in ids:
+                self._learn(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None))
+                ids = [self.words[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out.append(b"".join(ids))
+        return out
+
+    def _learn(self, new: dict[bytes, None]) -> None:
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+        rest = []
+        for w in new:
+            x = self._plain(w.decode()) if self.by_stem else None
+            if x is None:
+                rest.append(w)
+            else:
+                self.words[w] = x
+        if rest:
+            self.words.update(zip(rest, self._library([w.decode() for w in rest]), strict=True))
+
+
+def coder(path: str, dtype: str) -> _Coder:
+    if (path, dtype) not in _coders:
+        _coders[path, dtype] = _Coder(path, dtype)
+    return _coders[path, dtype]
 
 
 _ENCODED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
@@ -79,7 +130,7 @@ def _encoder(path: str, dtype: str, end: bytes, bounds: list[int]):
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 docs = part.column(0)
-                ids = [x + end for x in encode_words(part.column(1).to_pylist(), path, dtype)]
+                ids = [x + end for x in coder(path, dtype).encode(part.column(1).to_pylist())]
                 places = np.searchsorted(edges, docs.to_numpy(zero_copy_only=False), "left").astype(np.int32)
                 yield batch({"part": places, "doc_id": docs, "crc": [zlib.crc32(x) for x in ids], "ids": ids}, _ENCODED)
 
