@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media_avi, packing, quality_cnn, sharding, token_files, warc
+from . import html_text, media_avi, ngram_join, packing, quality_cnn, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op4_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS grams FROM w),
+    g AS (SELECT DISTINCT list_sort(grams) AS grams, hash(list_sort(grams)) AS k FROM s WHERE len(grams) > 0),
+    f AS (SELECT k, len(grams) AS n, unnest(grams) AS gram FROM g),
+    p AS (SELECT a.k AS x, b.k AS y, count(*) AS shared, any_value(a.n) AS nx, any_value(b.n) AS ny
+          FROM f a JOIN f b ON a.gram = b.gram AND a.k < b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+    d AS (SELECT doc_id, len(grams) AS n, CASE WHEN len(grams) > 0 THEN hash(list_sort(grams)) END AS k FROM s),
+    e AS (SELECT x, y FROM p WHERE 100 * shared >= 90 * (nx + ny - shared) UNION ALL SELECT y, x FROM p WHERE 100 * shared >= 90 * (nx + ny - shared)),
+    r(k, root) AS (SELECT k, k FROM g UNION SELECT r.k, e.y FROM r JOIN e ON e.x = r.root),
+    c AS (SELECT r.k, min(d.doc_id) AS component_id FROM r JOIN d ON d.k = r.root GROUP BY r.k)
+    SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN c ON c.k = d.k
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 @query("op6_html_text")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
