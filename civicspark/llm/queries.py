@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media_avi, ngram_join, packing, quality_cnn, sharding, token_files, warc
+from . import html_text, lm_ctw, media_avi, ngram_join, packing, quality_cnn, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op8_lm_ctw")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_ctw.score_documents(_table(spark, sf_dir, "documents"))
+
+
 @query("op9_token_files")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
