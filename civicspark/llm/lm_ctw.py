@@ -8,10 +8,11 @@ that a longer context never met is left to the shorter one.
 What is scored is the text as its tokens: words with A-Z lowered, joined by one space, and an end.
 For comparison the smoothed unigram score of the same tokens stands beside it.
 
-Documents are gathered in blocks of BLOCK bytes. A block sends its distinct words and byte strings
-of DEPTH + 1 on with their training counts, and gets the global count of each word and the model's
-log probability of each string back; so what moves grows with distinct strings, not with positions,
-and no task holds more of the model than one block or one range of contexts needs.
+Documents are gathered in blocks of at most BLOCK bytes. A block sends its distinct words (by 64-bit
+hash) and byte strings of DEPTH + 1 on with their training counts, and gets back the global count of
+each word that other blocks learned from too, and the model's log probability of each string; so what
+moves grows with distinct strings, not with positions, and no task holds more of the model than one
+block or one range of contexts needs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, held_out, stored, text_bytes
 
 DEPTH = 5
-BLOCK = 12 << 20
+#: Bytes of a block, and of the part of it whose positions are numbered at once.
+BLOCK, CHUNK = 32 << 20, 4 << 20
 #: A byte that UTF-8 never has: stands before each text and ends it. And what no word is.
 EDGE, END = b"\xff", b"\xff"
 _CODEC = "zstd"
@@ -107,49 +109,71 @@ def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, (keys << 8) | content[:, DEPTH], starts - DEPTH
 
 
-def _train_counts(ids: np.ndarray, n: int, starts: np.ndarray, texts: list[bytes], held: list[bool]) -> np.ndarray:
-    learn = np.zeros(len(ids), bool)
-    for s, t, h in zip(starts.tolist(), texts, held, strict=True):
-        if not h:
-            learn[s : s + len(t) + 1] = True
-    return np.bincount(ids[learn], minlength=n)
+def _chunks(texts: list[bytes]) -> Iterator[slice]:
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) + DEPTH + 1
+        if size >= CHUNK:
+            yield slice(lo, i + 1)
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield slice(lo, len(texts))
 
 
-_KEYS = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
-_WORDS = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+_KEYS = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
 
-def _pieces(schema: pa.Schema, columns: list) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(columns[1]), 1 << 16):
-        part = [c[lo : lo + (1 << 16)] for c in columns[1:]]
-        yield batch(dict(zip(schema.names, [np.full(len(part[0]), columns[0]), *part], strict=True)), schema)
+def _pieces(block: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(keys), 1 << 16):
+        part = keys[lo : lo + (1 << 16)]
+        yield batch({"block": np.full(len(part), block), "key": part, "n": n[lo : lo + (1 << 16)]}, _KEYS)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
-            row = b.slice(i, 1).to_pylist()[0]
-            texts = _texts(row)
-            ids, keys, starts = _strings(texts)
-            order = np.argsort(keys)
-            yield from _pieces(_KEYS, [row["block"], keys[order], _train_counts(ids, len(keys), starts, texts, row["held"])[order]])
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct strings of a block and how often those that are learned from have each."""
+    for row in _rows(batches):
+        texts, held = _texts(row), row["held"]
+        keys, counts = [], []
+        for c in _chunks(texts):
+            ids, found, starts = _strings(texts[c])
+            learn = np.zeros(len(ids), bool)
+            for s, t, h in zip(starts.tolist(), texts[c], held[c], strict=True):
+                if not h:
+                    learn[s : s + len(t) + 1] = True
+            keys.append(found)
+            counts.append(np.bincount(ids[learn], minlength=len(found)))
+        if keys:
+            distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            yield from _pieces(row["block"], distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64))
+
+
+def _learned(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
+    """The distinct tokens of a block and how often those that are learned from have each."""
+    counts, others = Counter(), set()
+    for t, h in zip(texts, held, strict=True):
+        if h:
+            others.update(t.split())
+            others.add(END)
+        else:
+            counts.update(t.split())
+            counts[END] += 1
+    return dict.fromkeys(others, 0) | counts
+
+
+def _hashes(words: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(b.num_rows):
-            row = b.slice(i, 1).to_pylist()[0]
-            learned, others = Counter(), set()
-            for t, h in zip(_texts(row), row["held"], strict=True):
-                words = t.split()
-                if h:
-                    others.update(words)
-                    others.add(END)
-                else:
-                    learned.update(words)
-                    learned[END] += 1
-            words = sorted(others.union(learned))
-            yield from _pieces(_WORDS, [row["block"], words, [learned[w] for w in words]])
+    for row in _rows(batches):
+        words = _learned(_texts(row), row["held"])
+        yield from _pieces(row["block"], _hashes(words), np.fromiter(words.values(), np.int64, len(words)))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -247,7 +271,7 @@ class _Top:
         return np.where(self.seen1[c1, node], share * own + (1 - share) * p, own)
 
 
-_LOGS = pa.schema([("gram", pa.int64()), ("logp", pa.float64())])
+_LOGS = pa.schema([("key", pa.int64()), ("logp", pa.float64())])
 
 
 def _log_probabilities(top: _Top):
@@ -261,7 +285,7 @@ def _log_probabilities(top: _Top):
             p, seen, *_ = _climb(*got, node, bit)
             logp += np.log10(top.mix(c1, node, bit, p, seen))
         for lo in range(0, len(keys), 1 << 16):
-            yield batch({"gram": keys[lo : lo + (1 << 16)], "logp": logp[lo : lo + (1 << 16)]}, _LOGS)
+            yield batch({"key": keys[lo : lo + (1 << 16)], "logp": logp[lo : lo + (1 << 16)]}, _LOGS)
 
     return run
 
@@ -278,23 +302,27 @@ def _scorer(tokens: int, distinct: int):
 
     def score(packs: pa.Table, model: pa.Table) -> pa.Table:
         out = []
-        is_word = model.column("word").is_valid()
-        words, strings = model.filter(is_word), model.filter(pa.compute.invert(is_word))
-        counts = words.column("value").to_numpy()
-        logs, known = np.log10(counts + 0.1), counts > 0
-        place = dict(zip(words.column("word").to_pylist(), range(len(counts)), strict=True))
-        known_keys = strings.column("gram").to_numpy()
-        order = np.argsort(known_keys)
-        known_keys, known_logs = known_keys[order], strings.column("value").to_numpy()[order]
-        for row in packs.to_pylist():
-            texts = _texts(row)
-            ids, keys, starts = _strings(texts)
-            logp = known_logs[np.searchsorted(known_keys, keys)]
-            for doc_id, h, t, s in zip(row["doc_ids"], row["held"], texts, starts.tolist(), strict=True):
-                at = [place[w] for w in t.split()] + [place[END]]
-                code = float(logp[ids[s : s + len(t) + 1]].sum())
-                n = len(t) + 1
-                out.append((doc_id, h, len(at), int(known[at].sum()), tokens, float(logs[at].sum() - len(at) * total), code, n, -code / np.log10(2) / n))
+        kind, keys, values = (model.column(c).to_numpy() for c in ("kind", "key", "value"))
+        order = np.argsort(keys[kind == 1])
+        strings, logs = keys[kind == 1][order], values[kind == 1][order]
+        order = np.argsort(keys[kind == 0])
+        shared, counts = keys[kind == 0][order], values[kind == 0][order]
+        for row in _rows(packs.to_batches()):
+            texts, held = _texts(row), row["held"]
+            words = _learned(texts, held)
+            hashes, c = _hashes(words), np.fromiter(words.values(), np.float64, len(words))
+            if len(shared):
+                at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
+                c = np.where(shared[at] == hashes, counts[at], c)
+            place, known, c = dict(zip(words, range(len(words)), strict=True)), c > 0, np.log10(c + 0.1)
+            for part in _chunks(texts):
+                ids, found, starts = _strings(texts[part])
+                logp = logs[np.searchsorted(strings, found)]
+                for doc_id, h, t, s in zip(row["doc_ids"][part], held[part], texts[part], starts.tolist(), strict=True):
+                    tokens_in = [*t.split(), END]
+                    at = np.fromiter(map(place.__getitem__, tokens_in), np.int64, len(tokens_in))
+                    code, n = float(logp[ids[s : s + len(t) + 1]].sum()), len(t) + 1
+                    out.append((doc_id, h, len(at), int(known[at].sum()), tokens, float(c[at].sum() - len(at) * total), code, n, -code / np.log10(2) / n))
         return pa.Table.from_batches([batch(dict(zip(_SCORES.names, zip(*out, strict=True) if out else [[]] * len(_SCORES), strict=True)), _SCORES)])
 
     return score
@@ -309,21 +337,19 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id, modulus, 0).alias("held"), text_bytes(text).alias("text"))
     packs = stored(rows.mapInArrow(_pack, _PACKS_DDL), "ctw-packs")
-    by_word = Window.partitionBy("word")
-    words = packs.select("block", "held", "sizes", "text").mapInArrow(_word_counts, "block long, word binary, n long")
-    words = stored(
-        words.withColumn("c", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1).select("block", "word", "n", "c", "first"),
-        "ctw-words",
-    )
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("first") & (F.col("c") > 0)).cast("long")), F.lit(0))).first()
-    grams = packs.select("block", "held", "sizes", "text").mapInArrow(_grams, "block long, gram long, n long")
-    counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-counts")
-    ranged = counts.repartition(F.shiftright("gram", 8 * (DEPTH - 1)))  # by the two nearest context bytes
+    by_word = Window.partitionBy("key")
+    texts = packs.select("block", "held", "sizes", "text")
+    words = texts.mapInArrow(_word_counts, "block long, key long, n long")
+    words = words.withColumn("c", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
+    words = stored(words.where(F.col("first") | (F.col("c") != F.col("n"))), "ctw-words")
+    once = F.when(F.col("first"), F.col("c"))
+    tokens, distinct = words.agg(F.coalesce(F.sum(once), F.lit(0)), F.count(F.when(once > 0, True))).first()
+    grams = texts.mapInArrow(_grams, "block long, key long, n long")
+    counts = stored(grams.groupBy("key").agg(F.sum("n").alias("n")), "ctw-counts")
+    ranged = counts.repartition(F.shiftright("key", 8 * (DEPTH - 1)))  # by the two nearest context bytes
     tops = ranged.mapInArrow(_tops, "c1 int, node int, n0 double, n1 double, children double").groupBy("c1", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "children")))
     top = _Top(tops.collect())  # 256 * 255 rows at most
-    logs = stored(ranged.mapInArrow(_log_probabilities(top), "gram long, logp double"), "ctw-logs")
-    for_blocks = (
-        words.select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-        .unionByName(grams.select("block", "gram").join(logs, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", F.col("logp").alias("value")))
-    )
-    return packs.groupBy("block").cogroup(for_blocks.groupBy("block")).applyInArrow(_scorer(tokens, distinct), _SCORES_DDL)
+    logs = stored(ranged.mapInArrow(_log_probabilities(top), "key long, logp double"), "ctw-logs")
+    back = words.where(F.col("c") != F.col("n")).select("block", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("value"))
+    back = back.unionByName(grams.select("block", "key").join(logs, "key").select("block", F.lit(1).alias("kind"), "key", F.col("logp").alias("value")))
+    return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scorer(tokens, distinct), _SCORES_DDL)
