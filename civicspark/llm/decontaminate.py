@@ -98,8 +98,9 @@ def _contaminated(rows: DataFrame, item: DataFrame, n: int, similarity: float, r
 
     # Where the items' shingles stand in the documents.
     seen = rows.select("doc_id", F.xxhash64("text").alias("copy"), _word_hashes(F.col("text")).alias("hashes"))
-    seen = seen.select("doc_id", "copy", _shingles(F.col("hashes"), n).alias("grams"))
-    seeds = seen.select("doc_id", "copy", F.size("grams").alias("length"), F.posexplode("grams").alias("at", "h"))
+    seen = seen.select("doc_id", "copy", _shingles(F.col("hashes"), n).alias("grams")).withColumn("length", F.size("grams"))
+    # The array itself isn't carried on. The outer form keeps Spark from deriving a filter that shingles again for each word.
+    seeds = seen.select("doc_id", "copy", "length", F.posexplode_outer("grams").alias("at", "h"))
     seeds = stored(seeds.join(hint(places.select("h").distinct()), "h", "left_semi"), "seeds")
 
     # Windows of the items' lengths there, inside their document.
@@ -109,8 +110,9 @@ def _contaminated(rows: DataFrame, item: DataFrame, n: int, similarity: float, r
     by_doc = windows.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("m", "grams_in_item", "start")).alias("windows"))
     held = rows.select("doc_id", "text", F.xxhash64("text").alias("copy")).join(by_doc, ["doc_id", "copy"])
     held = held.select("doc_id", "windows", _word_hashes(F.col("text")).alias("hashes"))
-    held = held.select("doc_id", "windows", _shingles(F.col("hashes"), n).alias("all")).select("doc_id", "all", F.explode("windows").alias("w"))
-    held = held.select("doc_id", "w.m", "w.start", F.slice("all", F.col("w.start") + 1, F.col("w.grams_in_item")).alias("grams"))
+    held = held.select("doc_id", "windows", _shingles(F.col("hashes"), n).alias("all"))
+    cut_out = F.transform("windows", lambda w: F.struct(w["m"].alias("m"), w["start"].alias("start"), F.slice("all", w["start"] + 1, w["grams_in_item"]).alias("grams")))
+    held = held.select("doc_id", F.explode_outer(cut_out).alias("w")).select("doc_id", "w.*")
     held = held.withColumn("content", F.sha2(F.array_join(F.transform("grams", lambda h: h.cast("string")), ","), 256))
     held = stored(held, "windows")
 
