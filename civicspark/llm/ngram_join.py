@@ -305,3 +305,15 @@ def similar_components(docs: DataFrame, how: Similarity = Similarity(), doc_id:
         if whole:
             break
     return members.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, how: Similarity = Similarity(ngram=5, num=80), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of linked documents, the one with the smallest id, with all its columns.
+
+    Of rows that repeat an id one stays. Rows with a null id and rows without words are in no group
+    with others and stay.
+    """
+    grouped = similar_components(docs, how, doc_id, text)
+    first = stored(grouped.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("__first")).distinct(), "representatives")
+    kept = docs.join(first, F.col(doc_id) == F.col("__first"), "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
