@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, stored, text_bytes
@@ -227,7 +227,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(h[live], i[live], v[live], lead[live], lead_v[live])
 
 
-_SETS = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+#: Words of 64 bits in a set's parity map.
+PARITY = 8
+
+
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit for each of 64 * PARITY cells of the domain: whether the set has an odd number of elements there.
+
+    Two maps differ in at most as many bits as the sets differ in elements.
+    """
+    cells = 64 * PARITY
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = (np.concatenate(sets) >> np.uint64(17)) % np.uint64(cells) if len(sets) else np.zeros(0, np.uint64)
+    counts = np.bincount(owner * cells + cell.astype(np.int64), minlength=len(sets) * cells)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), PARITY)
 
 
 def _setter(ngram: int):
@@ -238,17 +252,26 @@ def _setter(ngram: int):
                 sets = shingle_sets(part.column(1).to_pylist(), ngram)
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield batch({"id": part.column(0), "shingles": lists}, _SETS)
+                yield batch({"id": part.column(0), "shingles": lists, "parity": pa.array(list(parity(sets)), _SETS.field("parity").type)}, _SETS)
 
     return run
 
 
+def _may_link(how: Similarity, size_a: Column, size_b: Column, a: Column, b: Column) -> Column:
+    """False only if the parity maps show that the sets differ in too many elements."""
+    apart = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(PARITY)), F.lit(0))
+    return apart * (how.den + how.num) <= (size_a + size_b) * (how.den - how.num)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """Of the pairs (u, v) those whose sets are similar enough."""
+    """Of the pairs (u, v) those whose sets are similar enough. Their parity maps come first, so that few sets move."""
+    side = lambda id_, c, n: sets.select(F.col("id").alias(id_), F.col("parity").alias(c), F.size("shingles").alias(n))
+    near = pairs.join(side("u", "pa", "na"), "u").join(side("v", "pb", "nb"), "v")
+    near = stored(near.where(_may_link(how, F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))).select("u", "v"), "near-pairs")
     a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(how.den * both >= how.num * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return near.join(a, "u").join(b, "v").where(how.den * both >= how.num * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def similar_components(docs: DataFrame, how: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,7 +291,7 @@ def similar_components(docs: DataFrame, how: Similarity = Similarity(), doc_id:
     near = lambda x, y: F.least(x, y) * how.den >= F.greatest(x, y) * how.num
     pairs = live.where((F.col("id") != F.col("lead")) & near("n", "lead_n")).select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
     candidates = live.select("id").distinct()
-    sets = stored(rows.join(candidates, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter(how.ngram), "id long, shingles array<long>"), "shingles")
+    sets = stored(rows.join(candidates, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter(how.ngram), "id long, shingles array<long>, parity array<long>"), "shingles")
     tested = stored(pairs, "pairs")
     links = stored(_linked(tested, sets, how), "links")
     equal = members.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
@@ -284,11 +307,12 @@ def similar_components(docs: DataFrame, how: Similarity = Similarity(), doc_id:
         across = split.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
         if not across:
             break
-        open_rows = named.join(split, "h")
+        open_rows = stored(named.join(split, "h").join(sets.select("id", "parity"), "id"), "open")
         whole = across <= ACROSS * n_live or across == before
         if whole:
-            few = open_rows.where("comp <> big").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            new = few.join(open_rows.select("h", "id", "n", "comp"), "h").where((F.col("comp") != F.col("cx")) & near("n", "nx"))
+            few = open_rows.where("comp <> big").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("parity").alias("px"))
+            alike = near("n", "nx") & _may_link(how, F.col("n"), F.col("nx"), F.col("parity"), F.col("px"))
+            new = few.join(open_rows.select("h", "id", "n", "comp", "parity"), "h").where((F.col("comp") != F.col("cx")) & alike)
             new = new.select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
         else:  # another star, around another member
             turn += 1
