@@ -109,5 +109,5 @@ def composition(contributions: DataFrame, parts: list[str], least: float = 0.02)
     wide = contributions.groupBy("candidate").agg(F.sum("cents").alias("all"), *[F.coalesce(F.sum(F.when(F.col("interest") == p, F.col("cents"))), F.lit(0)).alias(p) for p in parts])
     rest = F.greatest(F.lit(0), F.col("all") - sum((F.col(p) for p in parts), F.lit(0)))
     rows = wide.withColumn("Other", rest).unpivot(["candidate", "all"], [*parts, "Other"], "segment", "cents")
-    kept = rows.where((F.col("segment") != "Other") | (F.col("cents") > least * F.col("all")))
+    kept = rows.where((F.col("cents") > 0) & ((F.col("segment") != "Other") | (F.col("cents") > least * F.col("all"))))
     return kept.select("candidate", "segment", dollars(F.col("cents")).alias("amount"), thousandth(F.col("cents") / F.col("all")).alias("share"))
