@@ -271,7 +271,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return near.join(a, "u").join(b, "v").where(how.den * both >= how.num * (F.size("a") + F.size("b") - both)).select("u", "v")
+    # v first: where each v stands in one pair, as in the first stars, each set moves once.
+    return near.join(b, "v").join(a, "u").where(how.den * both >= how.num * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def similar_components(docs: DataFrame, how: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,10 +290,11 @@ def similar_components(docs: DataFrame, how: Similarity = Similarity(), doc_id:
     members = met.where("v >= 0").select(F.col("h").alias("rep"), "id", F.col("v").alias("n"))
     live = met.where("v < 0").select("h", "id", F.expr("(-1 - v) % 4294967296").alias("n"), "lead", F.expr("(-1 - lead_v) % 4294967296").alias("lead_n"))
     near = lambda x, y: F.least(x, y) * how.den >= F.greatest(x, y) * how.num
-    pairs = live.where((F.col("id") != F.col("lead")) & near("n", "lead_n")).select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
+    pairs = live.where((F.col("id") != F.col("lead")) & near("n", "lead_n")).select(F.col("lead").alias("u"), F.col("id").alias("v"))
     candidates = live.select("id").distinct()
     sets = stored(rows.join(candidates, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter(how.ngram), "id long, shingles array<long>, parity array<long>"), "shingles")
-    tested = stored(pairs, "pairs")
+    # Each set first meets one leader; what its other signatures add is left to the turns below.
+    tested = stored(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "pairs")
     links = stored(_linked(tested, sets, how), "links")
     equal = members.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     found = components(links.unionByName(equal))
