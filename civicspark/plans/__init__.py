@@ -1,6 +1,6 @@
 """The queries, by family; importing this package registers them."""
 
 from ..registry import ORACLES, QUERIES
-from . import market, records
+from . import market, records, text
 
-__all__ = ["ORACLES", "QUERIES", "market", "records"]
+__all__ = ["ORACLES", "QUERIES", "market", "records", "text"]
