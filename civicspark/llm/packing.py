@@ -2,7 +2,8 @@
 
 Dynamic programming over the global length histogram finds the bucket boundaries that minimise
 padding; inside a bucket every document is padded to the boundary and batches are filled up to the
-token budget. The histogram has at most MAX_BINS rows: longer ranges are rounded up to a grid.
+token budget. The histogram has a row for each distinct length: lengths are positive, so there are
+at most sqrt(2 * all tokens) of them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, gapless_rank, stored
 
-MAX_BINS = 65_536
-
 
 def word_tokens(text: str = "text") -> Column:
     """Words of a text and one end; null counts as empty."""
@@ -73,10 +72,8 @@ def pack_documents(docs: DataFrame, length: Column | None = None, buckets: int =
     """
     n = word_tokens() if length is None else length
     sized = stored(docs.select(F.col(doc_id).alias("doc_id"), n.alias("n_tokens")), "packing-lengths")
-    rows, longest = sized.agg(F.count("*"), F.coalesce(F.max("n_tokens"), F.lit(0))).first()
-    grid = max(1, -(-longest // MAX_BINS))
-    on_grid = F.ceil(F.col("n_tokens") / grid).cast("long") * grid
-    bounds = optimal_boundaries([tuple(r) for r in sized.groupBy(on_grid).count().collect()], buckets)  # MAX_BINS rows at most
+    histogram = [tuple(r) for r in sized.groupBy("n_tokens").count().collect()]  # at most sqrt(2 * all tokens) rows
+    rows, bounds = sum(c for _, c in histogram), optimal_boundaries(histogram, buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     bucket = F.size(F.filter(edges, lambda b: b < F.col("n_tokens")))
     bucketed = sized.withColumn("bucket", bucket).withColumn("bucket_tokens", F.element_at(edges, F.col("bucket") + 1))

@@ -68,6 +68,17 @@ def test_packing_batches_hold_their_budget(spark):
         assert sorted(r.place for r in batch) == list(range(len(batch)))
 
 
+def test_packing_stays_optimal_beside_a_long_text(spark):
+    lengths = [3, 3, 3, 3, 3, 4, 6, 7, 7, 7, 8, 31, 31, 33, 70_001]
+    df = spark.createDataFrame([(i, "w " * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    waste = lambda bounds: sum(min(b for b in bounds if b >= n) - n for n in lengths)
+    for k in (3, 4, 5):
+        got = packing.pack_documents(df, buckets=k).collect()
+        assert sorted(r.n_tokens for r in got) == lengths and {r.bucket_tokens for r in got} <= set(lengths)
+        best = min(waste((*cut, 70_001)) for cut in itertools.combinations(sorted(set(lengths))[:-1], k - 1))
+        assert sum(r.padding for r in got) == best
+
+
 def grams(text, n):
     w = WORD.findall(lower(text))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
