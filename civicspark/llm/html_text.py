@@ -4,8 +4,9 @@ Every element gets a density: its characters per tag, raised where few of them a
 lowered where many are. An element's sum adds the densities of its children (its own text counts as
 one). Of the elements at least as dense as the sparsest on the path from the body to the one with
 the largest sum, the one with the largest sum holds the article; where it lies in an <article> or
-<main>, that is taken whole. Elements that say by tag, role, class or id that they are no article
-(menus, page headers and footers, sidebars, notices, adverts, forms, comments) count nowhere.
+<main>, that is taken whole. Elements that say by tag, role or a whole class or id that they are no
+article (menus, page headers and footers, sidebars, notices, adverts, forms, comments) count nowhere,
+unless they hold an article, a main or most of the text outside links: then density decides.
 """
 
 from __future__ import annotations
@@ -31,26 +32,28 @@ ENDS = {
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 BOUNDARY = frozenset("html body article main section div td th table ul ol dl blockquote nav aside header footer form figure details fieldset select".split())
-#: What is no article: by tag or role, and by words of class and id.
+#: What is no article: by tag or role, and by whole classes and ids.
 NO_ARTICLE_TAGS = frozenset("nav footer aside form button select dialog menu svg canvas audio video object map datalist".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NO_ARTICLE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
     "popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer header masthead topbar "
-    "comment comments disqus replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip".split()
+    "comment comments disqus replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip "
+    "site-header site-footer page-footer main-nav site-nav nav-menu navbar-nav skip-link cookie-banner cookie-notice cookie-consent ad-banner ad-container ad-slot "
+    "share-buttons social-share social-links related-posts related-articles newsletter-signup comments-area comment-list comment-respond post-comments".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
-_WORDS = re.compile(r"[a-z]+")
+#: Read from left to right, so that no value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class _Node:
-    __slots__ = ("children", "chars", "density", "link", "link_chars", "link_tags", "name", "own", "parent", "skip", "sum", "tags")
+    __slots__ = ("children", "chars", "density", "link", "link_chars", "link_tags", "marked", "name", "own", "parent", "skip", "sum", "tags")
 
-    def __init__(self, name: str, parent: _Node | None, skip: bool):
-        self.name, self.parent, self.skip = name, parent, skip
+    def __init__(self, name: str, parent: _Node | None, marked: bool):
+        self.name, self.parent, self.marked, self.skip = name, parent, marked, False
         self.children: list[_Node | str] = []
         self.link = name == "a" or (parent is not None and parent.link)
         self.own = self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -68,15 +71,14 @@ def _no_article(name: str, attributes: str, node: _Node) -> bool:
         return True
     if not attributes or name in ("html", "body", "article", "main") or name in HEADINGS:
         return False
+    found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and not NO_ARTICLE_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-        if key == "role" and value in NO_ARTICLE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    named = f"{found.get('class', '')} {found.get('id', '')}".split()
+    return (
+        not NO_ARTICLE_WORDS.isdisjoint(named) or found.get("role", "").strip() in NO_ARTICLE_ROLES
+        or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in "".join(found.get("style", "").split())
+    )
 
 
 def parse(page: str) -> _Node:
@@ -121,7 +123,7 @@ def parse(page: str) -> _Node:
                 x = x.parent
             if last is not None:
                 node = last.parent
-        child = _Node(name, node, node.skip or _no_article(name, attributes, node))
+        child = _Node(name, node, _no_article(name, attributes, node))
         node.children.append(child)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -140,6 +142,30 @@ def _order(root: _Node) -> list[_Node]:
     return out
 
 
+def _skip_marked(body: _Node) -> None:
+    """Skips the marked elements but those that hold an article, a main or most of the text outside links.
+
+    That text is the enclosing article's or main's; outside of them, the body's, on a page that has
+    none with text. An article inside another is a comment on it or the like and saves nothing.
+    """
+    nodes = _order(body)
+    plain: dict[_Node, int] = {}
+    around: dict[_Node | None, _Node | None] = {body.parent: None}
+    holds = set()
+    for x in nodes:
+        x.own = sum(len("".join(c.split())) for c in x.children if isinstance(c, str))
+        around[x] = x if x.name in ("article", "main") else around[x.parent]
+    for x in reversed(nodes):
+        plain[x] = (0 if x.link else x.own) + sum(plain[c] for c in x.children if not isinstance(c, str))
+        outer = around[x.parent]
+        if x in holds or around[x] is x and (x.name == "main" or outer is None or outer.name == "main"):
+            holds.add(x.parent)
+    of_page = None if any(around[x] is x and plain[x] for x in nodes) else body
+    for x in nodes:
+        whole = around[x] or of_page
+        x.skip = x.marked and x not in holds and (whole is None or 2 * plain[x] <= plain[whole])
+
+
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_links: float) -> float:
     if not chars:
         return 0.0
@@ -151,9 +177,9 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_links:
 
 def main_element(root: _Node) -> _Node:
     body = next((c for c in root.children if getattr(c, "name", "") == "body"), root)
+    _skip_marked(body)
     nodes = _order(body)
     for x in reversed(nodes):
-        x.own = sum(len("".join(c.split())) for c in x.children if isinstance(c, str))
         x.chars, x.link_chars = x.own, x.own if x.link else 0
         x.tags = x.link_tags = 0
         for c in x.children:

@@ -137,6 +137,25 @@ def test_html_keeps_the_article_alone(spark):
     assert all(got[i].text == "" and got[i].n_chars == 0 for i in (2, 3))
 
 
+PROSE = "A long paragraph of the article that says quite a lot about its subject, and more."
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='layout with-sidebar'><article><p>{}</p></article></div>",
+    "<body class='x'><div class='no-sidebar has-comments' id='social-science'><main><p>{}</p></main></div></body>",
+    "<div id=search-results><p>{}</p></div><footer>Copyright</footer>",
+    "<body><form action='/'><nav><a href='/'>Home</a></nav><div><p>{}</p></div></form></body>",
+    "<main><form><p>{}</p></form></main>",
+    "<div class=sidebar><article><p>{}</p></article></div>",
+    "<article><p>{}</p></article><footer>" + "Longer than the article. " * 9 + "</footer>",
+    "<article><p title='a hidden gem'>{}</p></article>",
+    "<article><div data-id='search' data-class=nav><p>{}</p></div></article>",
+    "<article><p>{}</p><div class='box comments'>Nice post <article>I agree</article></div><div hidden>Not seen</div></article><div id='sidebar'>Elsewhere</div>",
+])
+def test_html_drops_nothing_for_a_name_alone(page):
+    assert html_text.main_text(page.format(PROSE)) == PROSE
+
+
 def test_shards_are_level_and_keep_copies_together(spark, docs):
     load, slots, places = Counter(), defaultdict(list), defaultdict(set)
     for r in rows(spark, "op7_sharding"):
