@@ -59,12 +59,19 @@ def vector_topk(spark, d):
 @query("quote_evidence_missing", "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))")
 def quote_evidence_missing(spark, d):
     """Quotes that stand in no document, white space aside."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    docs = table(spark, d, "documents").select("doc_id", flat("text").alias("doc"))
+    flat = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\f\r]+", " "))
+    docs = table(spark, d, "documents").select(flat("text").alias("doc")).where("doc is not null")
     quotes = table(spark, d, "benchmark").select("item_id", flat("text").alias("quote"))
-    # A quote is looked for in the documents that have its first word; those are found without carrying their text.
-    heads = docs.select("doc_id", F.explode_outer(F.array_distinct(F.split("doc", " "))).alias("head"))
-    wanted = quotes.select("item_id", F.split("quote", " ")[0].alias("head"))
-    pairs = heads.join(wanted, "head").select("doc_id", "item_id").distinct()
-    found = pairs.join(quotes, "item_id").join(docs, "doc_id").where(F.col("doc").contains(F.col("quote"))).select("item_id").distinct()
-    return quotes.join(found, "item_id", "left_anti").select("item_id")
+    parts = quotes.where("quote is not null").select("quote").distinct().withColumn("words", F.split("quote", " "))
+    # What stands inside a quote stands as whole words in a document that has it: of these words, the rarest leads
+    # to the candidates, found without carrying their text. Hashes only name rows; the texts themselves are compared.
+    inner = parts.where("size(words) > 2").select("quote", F.explode(F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))).alias("word"))
+    heads = docs.select(F.xxhash64("doc").alias("at"), F.explode(F.array_distinct(F.split("doc", " "))).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    common = heads.groupBy("word").agg(F.count("*").alias("docs"))
+    keys = inner.join(common, "word", "left").groupBy("quote").agg(F.min_by("word", F.struct(F.coalesce("docs", F.lit(0)), "word")).alias("word"))
+    pairs = heads.join(keys.select("word", F.xxhash64("quote").alias("of")), "word").select("at", "of").distinct()
+    long = pairs.join(keys.select(F.xxhash64("quote").alias("of"), "quote"), "of").join(docs.withColumn("at", F.xxhash64("doc")), "at").where(F.col("doc").contains(F.col("quote")))
+    # One or two words may lie inside other words, and no words lie in every text: these few meet every document.
+    short = docs.join(F.broadcast(parts.where("size(words) <= 2").select("quote")), F.col("doc").contains(F.col("quote")))
+    found = long.select("quote").unionByName(short.select("quote")).distinct()
+    return quotes.join(found, "quote", "left_anti").select("item_id")
