@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, shared_dir, stored, text_bytes
@@ -29,18 +29,22 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_headers(kind: str, page_id: int, url: str | None, sha1: str, sha256: str, refers_to: int | None, length: int) -> bytes:
+def record_id(page_id: int | None, sha256: str) -> bytes:
+    return f"<urn:page:{'null' if page_id is None else page_id}:{sha256}>".encode()
+
+
+def record_headers(kind: str, page_id: int | None, url: str | None, sha1: str, sha256: str, refers_to: int | None, length: int) -> bytes:
     lines = [
         VERSION,
         b"WARC-Type: " + kind.encode(),
-        b"WARC-Record-ID: <urn:page:%d>" % page_id,
+        b"WARC-Record-ID: " + record_id(page_id, sha256),
         b"WARC-Date: " + RECORD_DATE,
         b"WARC-Target-URI: " + " ".join((url or "").split()).encode(),
         b"WARC-Payload-Digest: sha1:" + sha1.encode(),
         b"WARC-Block-Digest: sha256:" + sha256.encode(),
     ]
     if refers_to is not None:
-        lines += [b"WARC-Profile: " + REVISIT_PROFILE, b"WARC-Refers-To: <urn:page:%d>" % refers_to]
+        lines += [b"WARC-Profile: " + REVISIT_PROFILE, b"WARC-Refers-To: " + record_id(refers_to, sha256)]
     lines += [b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % length]
     return b"\r\n".join(lines) + b"\r\n\r\n"
 
@@ -95,21 +99,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes a record for each page: of equal payloads of at least min_bytes bytes the one with the
-    largest id is the response and the others revisit it; smaller ones are all responses.
+    """Writes a record for each row: of equal payloads of at least min_bytes bytes those with the
+    largest id are responses and the others revisit them; smaller ones are all responses.
 
-    A null payload is empty. Rows without an id are numbered nowhere and left out; of rows that
-    repeat an id one is written (the one with the smallest digest). Other columns are ignored.
+    A null payload is empty. A record's id is made of the page's id and the payload's digest. A row
+    without an id revisits the page with its payload; where there is none it is a response. Other
+    columns are ignored.
     """
     raw = text_bytes(html)
-    rows = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), raw.alias("payload"), F.sha2(raw, 256).alias("sha256"))
-    meta = stored(rows.select("page_id", "sha256", F.octet_length("payload").alias("n")), "warc-digests")
-    if meta.groupBy("page_id").count().where("count > 1").take(1):
-        rows = rows.groupBy("page_id").agg(F.min_by(F.struct("url", "payload", "sha256"), "sha256").alias("x")).select("page_id", "x.*")
-        meta = meta.groupBy("page_id").agg(F.min(F.struct("sha256", "n")).alias("x")).select("page_id", "x.*")
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), raw.alias("payload"), F.sha2(raw, 256).alias("sha256"))
+    meta = stored(rows.select("page_id", "sha256", F.octet_length("payload").alias("n")).distinct(), "warc-digests")
     owners = meta.where(F.col("n") >= min_bytes).groupBy(F.col("sha256").alias("digest")).agg(F.max("page_id").alias("owner"))
-    roles = meta.join(owners, F.col("sha256") == F.col("digest"), "left").select(F.col("page_id").alias("id"), F.when(F.col("owner") != F.col("page_id"), F.col("owner")).alias("refers_to"))
-    placed = rows.join(roles, F.col("page_id") == F.col("id"))
+    other = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id"))
+    roles = meta.join(owners, F.col("sha256") == F.col("digest"), "left").select(F.col("page_id").alias("id"), F.col("sha256").alias("id_sha256"), F.when(other, F.col("owner")).alias("refers_to"))
+    placed = rows.join(roles, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha256") == F.col("id_sha256")))
     packed = placed.select("page_id", "url", "payload", "sha256", "refers_to").mapInArrow(_pack, "member binary")
     packed.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
 
@@ -127,8 +130,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, fields, block = parse_record(record)
                 kind = fields["warc-type"]
                 sha1, sha256 = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-block-digest"].removeprefix("sha256:")
-                sound = kind == "revisit" or (hashlib.sha256(block).hexdigest() == sha256 and sha1_base32(block) == sha1)
-                ident = lambda v: int(v.strip("<>").rpartition(":")[2])
+                sound = None if kind == "revisit" else (hashlib.sha256(block).hexdigest() == sha256 and sha1_base32(block) == sha1)
+                ident = lambda v: None if (i := v.strip("<>").split(":")[2]) == "null" else int(i)
                 rows.append((ident(fields["warc-record-id"]), kind, ident(fields["warc-refers-to"]) if kind == "revisit" else None, head, sha1, sha256, block if kind == "response" else None, sound))
                 held += len(block)
                 if held > 8 << 20:
@@ -139,32 +142,47 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record as it stands in the archives: revisits have no payload. verified: its digests hold."""
+    """Every record as it stands in the archives: revisits have no payload. verified: its digests hold, null for revisits."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("content").mapInArrow(_unpack, RECORDS_DDL)
 
 
+def _sound(value: str, sound: Column, error: str) -> Column:
+    return F.when(sound, F.col(value)).otherwise(F.raise_error(F.lit(error)))
+
+
+#: A record beside the payload that its digest led to; a revisit also names the page of that payload.
+_MEETS = "sha1 = stored_sha1 and (refers_to is null or refers_to = owner)"
+_UNSOUND, _APART = "a payload doesn't match its digest", "a record doesn't match the payload it refers to"
+
+
 def payload_store(records: DataFrame) -> DataFrame:
-    """sha256, payload: each payload once. Records whose digest doesn't hold raise an error."""
-    checked = records.where(F.col("record_type") == "response").withColumn("payload", F.when(F.col("verified"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest"))))
-    return checked.select("sha256", "payload", F.col("page_id").alias("owner"))
+    """sha256, payload, owner, stored_sha1: each payload once. Responses whose digest doesn't hold raise an error."""
+    checked = records.where(F.col("record_type") == "response").withColumn("payload", _sound("payload", F.col("verified"), _UNSOUND))
+    return checked.groupBy("sha256").agg(F.max("payload").alias("payload"), F.max("page_id").alias("owner"), F.max("sha1").alias("stored_sha1"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """page_id, headers, payload of every original record: the header store joined to the payload store."""
     records = read_records(spark, path)
-    heads = records.select("page_id", "record_type", "refers_to", "headers", "sha1", F.coalesce("refers_to", "page_id").alias("owner"))
-    return heads.join(payload_store(records), "owner").select("page_id", "headers", "record_type", "refers_to", "sha1", "payload")
+    heads = records.select("page_id", "record_type", "refers_to", "headers", "sha1", "sha256")
+    joined = heads.join(payload_store(records), "sha256", "left")
+    return joined.select("page_id", "headers", "record_type", "refers_to", "sha1", _sound("payload", F.expr(_MEETS), _APART).alias("payload"))
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes the archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes the archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A revisit's digests are compared with those of the response that it refers to. Rows without an id
+    count as revisits of nothing, as in the query's SQL, whatever record holds them.
+    """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write_archive(pages, path, min_bytes)
-    records = stored(
-        read_records(spark, path).select("page_id", "record_type", "refers_to", "sha1", "verified", F.octet_length("payload").cast("long").alias("n"), F.coalesce("refers_to", "page_id").alias("owner")),
-        "warc-read",
-    )
-    sizes = records.where("record_type = 'response'").select("owner", F.when(F.col("verified"), F.col("n")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest")).cast("long")).alias("payload_bytes"))
-    return records.join(sizes, "owner").select("page_id", "payload_bytes", F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
+    records = stored(read_records(spark, path).select("page_id", "record_type", "refers_to", "sha1", "sha256", "verified", F.octet_length("payload").cast("long").alias("payload")), "warc-read")
+    joined = records.drop("payload").join(payload_store(records), "sha256", "left")
+    known = F.col("page_id").isNotNull()
+    return joined.select(
+        "page_id", _sound("payload", F.expr(_MEETS), _APART).alias("payload_bytes"), F.col("stored_sha1").alias("payload_digest"),
+        F.when(known, F.col("record_type")).otherwise("revisit").alias("record_type"), F.when(known, F.col("refers_to")).alias("refers_to"),
+    )

@@ -200,6 +200,26 @@ def test_warc_records(spark):
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows(spark, "op10_warc")} == want
 
 
+def test_warc_writes_every_row_and_checks_revisits(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "b", "y"), (1, "b", "y"), (2, "c", "x"), (3, None, None), (None, "d", "x"), (None, "e", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages")
+    want = duckdb.execute(f"WITH pages AS (SELECT * FROM '{tmp_path}/pages/*.parquet') {queries.ORACLES['op10_warc'].replace('WITH p AS', ', p AS', 1)}").fetchall()
+    got = warc.archive_pages(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    warc.write_archive(df, f"{tmp_path}/archive")
+    back = warc.reconstruct(spark, f"{tmp_path}/archive").collect()
+    assert Counter((r.page_id, bytes(r.payload)) for r in back) == Counter((i, (h or "").encode()) for i, _, h in rows)
+    # A revisit whose digest isn't its response's.
+    payload, sha256 = b"x", hashlib.sha256(b"x").hexdigest()
+    good = warc.record_headers("response", 2, "c", warc.sha1_base32(payload), sha256, None, 1) + payload + b"\r\n\r\n"
+    bad = warc.record_headers("revisit", 1, "a", warc.sha1_base32(b"other"), sha256, 2, 0) + b"\r\n\r\n"
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.gz").write_bytes(warc.gzip_member(good) + warc.gzip_member(bad))
+    with pytest.raises(Exception, match="doesn't match the payload"):
+        warc.reconstruct(spark, f"{tmp_path}/bad").collect()
+
+
 ON_DOCUMENTS = {
     "quality": lambda df: quality_cnn.score_documents(df, quality_cnn.train([b"good prose", b"bad"], np.array([1.0, 0.0]))),
     "media": lambda df: media_avi.media_features(media_avi.store_media(df)),
