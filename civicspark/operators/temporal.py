@@ -39,10 +39,12 @@ def range_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """key, start, end, parts: intervals that overlap or touch become one."""
+    """key, start, end, parts: intervals that overlap or touch become one. Equal intervals are counted first,
+    so a hot key's window has as many rows as it has distinct intervals."""
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
     island = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = df.withColumn("__new", fresh).withColumn("__island", island)
-    return cut.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("__island")
+    counted = df.groupBy(key, start, end).agg(F.count("*").alias("__n"))
+    cut = counted.withColumn("__new", fresh).withColumn("__island", island)
+    return cut.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("__n").alias("parts")).drop("__island")

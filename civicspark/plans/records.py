@@ -177,10 +177,10 @@ def ledger_by_kind_rollup(spark, d):
     return table(spark, d, "events").rollup(F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum(a.cents("value")).alias("cents"))
 
 
-@query("interval_merge_islands", """WITH i AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + 1 AS e FROM lineitem),
+@query("interval_merge_islands", """WITH i AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + 1 AS e, count(*) AS n FROM lineitem GROUP BY ALL),
     r AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
     g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r)
-    SELECT k, min(s) AS s, max(e) AS e, count(*) AS parts FROM g GROUP BY k, island""")
+    SELECT k, min(s) AS s, max(e) AS e, CAST(sum(n) AS BIGINT) AS parts FROM g GROUP BY k, island""")
 def interval_merge_islands(spark, d):
     day = F.col("l_shipdate").cast("date")
     return temporal.merge_intervals(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), day.alias("s"), F.date_add(day, 1).alias("e")), "k", "s", "e")
