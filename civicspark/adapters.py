@@ -118,3 +118,12 @@ PRIORITY = {"purchase": 4, "signup": 3, "click": 2, "view": 1}
 def actions(spark: SparkSession, d: str) -> DataFrame:
     rank = F.coalesce(*[F.when(F.col("event_type") == s, p) for s, p in PRIORITY.items()], F.lit(0))
     return table(spark, d, "events").select("event_id", F.col("user_id").alias("bill"), "ts", F.col("event_type").alias("state"), rank.alias("priority"))
+
+
+def phrase(key: str, values: list[str], **parts: str) -> str:
+    """An expression, the same in both dialects, that picks one of the texts by a whole-number column and fills {name}
+    with that part; {nl} is a line's end. Texts hold no quotes or backslashes."""
+    text = f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+    for name, expression in {**parts, "nl": "chr(10)"}.items():
+        text = f"replace({text}, '{{{name}}}', CAST({expression} AS STRING))"
+    return text

@@ -99,13 +99,6 @@ def transitions(actions: DataFrame, notify: list[str]) -> DataFrame:
     return actions.withColumn("before", before).withColumn("notify", (F.col("priority") > F.col("before")) & F.col("state").isin(notify))
 
 
-def cooled(events: DataFrame, keys: list[str], at: str, days: int) -> DataFrame:
-    """Each event with whether another of its keys came within that many days before it."""
-    w = Window.partitionBy(*keys).orderBy(F.col(at), "event_id")
-    last = F.lag(at).over(w)
-    return events.withColumn("blocked", F.coalesce(last >= F.col(at) - F.expr(f"INTERVAL {days} DAYS"), F.lit(False)))
-
-
 def budget_prefix(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
     """The rows of each group before the first that overflows the budget, with the running sum."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,6 +1,6 @@
 """The queries, by family; importing this package registers them."""
 
 from ..registry import ORACLES, QUERIES
-from . import market, records, text
+from . import bill_texts, bills, checks, market, people, records, text
 
-__all__ = ["ORACLES", "QUERIES", "market", "records", "text"]
+__all__ = ["ORACLES", "QUERIES", "bill_texts", "bills", "checks", "market", "people", "records", "text"]

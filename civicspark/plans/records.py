@@ -112,14 +112,6 @@ def merge_new_only(spark, d):
     return records.merge_new(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey")
 
 
-@query("contest_share_gate", """WITH s AS (SELECT l_orderkey AS contest, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS votes, count(*) AS candidates, CAST(max(CAST(l_quantity AS BIGINT)) AS BIGINT) AS best FROM lineitem GROUP BY 1)
-    SELECT *, floor(CAST(best AS DOUBLE) / CAST(votes AS DOUBLE) * 1000 + 0.5) / 1000 AS best_share FROM s WHERE candidates > 1""")
-def contest_share_gate(spark, d):
-    q = F.col("l_quantity").cast("long")
-    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("contest")).agg(F.sum(q).alias("votes"), F.count("*").alias("candidates"), F.max(q).alias("best"))
-    return s.where("candidates > 1").withColumn("best_share", money.thousandth(F.col("best") / F.col("votes")))
-
-
 @query("doc_duplicates_md5", "SELECT md5(coalesce(text, '')) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def doc_duplicates_md5(spark, d):
     return records.duplicates(table(spark, d, "documents"), F.coalesce("text", F.lit("")), "doc_id")
@@ -141,11 +133,6 @@ def state_transitions(spark, d):
     return records.transitions(a.actions(spark, d), ["purchase", "signup"]).drop("ts")
 
 
-@query("cooldown_30d", sql("""SELECT event_id, user_id, query_type, coalesce(lag(ts) OVER (PARTITION BY user_id, query_type ORDER BY ts, event_id) >= ts - INTERVAL 30 DAY, FALSE) AS blocked FROM log""", "log"))
-def cooldown_30d(spark, d):
-    return records.cooled(a.log(spark, d), ["user_id", "query_type"], "ts", 30).select("event_id", "user_id", "query_type", "blocked")
-
-
 @query("rate_limit_daily", sql("SELECT user_id, query_type, CAST(ts AS DATE) AS \"day\", count(*) AS n, count(*) > 5 AS \"limited\" FROM log GROUP BY 1, 2, 3", "log"))
 def rate_limit_daily(spark, d):
     n = a.log(spark, d).groupBy("user_id", "query_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

@@ -31,17 +31,13 @@ def chunk_words_500_50(spark, d):
     return chunks.select("doc_id", "c.start", F.size("c.w").alias("n_words"), F.md5(F.array_join("c.w", " ")).alias("digest"))
 
 
-@query("html_strip", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
-def html_strip(spark, d):
-    return table(spark, d, "pages").select("page_id", t.strip_html(F.coalesce("html", F.lit(""))).alias("text"))
-
-
 @query("transcript_segments", """WITH s AS (SELECT *, sum(CASE WHEN role IN ('user', 'system') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seg FROM conversations)
-    SELECT conv_id, CAST(seg AS BIGINT) AS seg, min(turn) AS first_turn, count(*) AS turns, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM s GROUP BY conv_id, seg""")
+    SELECT conv_id, CAST(seg AS BIGINT) AS seg, min(turn) AS first_turn, count(*) AS turns, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM s WHERE role NOT IN ('user', 'system') GROUP BY conv_id, seg""")
 def transcript_segments(spark, d):
+    """Rows below each marker row; markers aren't of their segment, and segments without rows aren't there."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = table(spark, d, "conversations").withColumn("seg", F.sum(F.col("role").isin("user", "system").cast("int")).over(w))
-    return marked.groupBy("conv_id", "seg").agg(F.min("turn").alias("first_turn"), F.count("*").alias("turns"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    return marked.where(~F.col("role").isin("user", "system")).groupBy("conv_id", "seg").agg(F.min("turn").alias("first_turn"), F.count("*").alias("turns"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
 @query("vector_topk", """WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 = 0),
