@@ -3,10 +3,11 @@
 Every element gets a density: its characters per tag, raised where few of them are link text and
 lowered where many are. An element's sum adds the densities of its children (its own text counts as
 one). Of the elements at least as dense as the sparsest on the path from the body to the one with
-the largest sum, the one with the largest sum holds the article; where it lies in an <article> or
-<main>, that is taken whole. Elements that say by tag, role or a whole class or id that they are no
-article (menus, page headers and footers, sidebars, notices, adverts, forms, comments) count nowhere,
-unless they hold an article, a main or most of the text outside links: then density decides.
+the largest sum, the one with the largest sum is the article's body; it grows to its parent as long
+as what that adds is no more than it has and mostly no link text, as a headline above it is. No tag
+makes an element the article. Elements that say by tag, role or a whole class or id that they are
+no article (menus, page headers and footers, sidebars, notices, adverts, forms, comments) count
+nowhere, unless they hold an article, a main or most of the text outside links: then density decides.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,6 +87,13 @@ def parse(page: str) -> _Node:
     """The tree of a page; its root stands for the body where there is none."""
     root = node = _Node("html", None, False)
     at, end, last_tag = 0, len(page), page.rfind(">") + 1
+    opened: Counter[str] = Counter()  # names of the open elements, so that no end tag of another walks up the tree
+
+    def close_to(x: _Node) -> None:
+        nonlocal node
+        while node is not x:
+            opened[node.name] -= 1
+            node = node.parent
 
     def text(s: str) -> None:
         if s:
@@ -102,27 +111,25 @@ def parse(page: str) -> _Node:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
+            if not opened[name]:
+                continue
             x = node
-            while x is not root and x.name != name:
+            while x.name != name and (name not in INLINE or x.name not in BOUNDARY):  # an inline end tag ends no block around it
                 x = x.parent
-            if x is not root:
-                inner = node
-                while name in INLINE and inner is not x and inner.name not in BOUNDARY:
-                    inner = inner.parent
-                if name not in INLINE or inner is x:  # an inline end tag ends no block around it
-                    node = x.parent
+            if x.name == name:
+                close_to(x.parent)
             continue
         if name in ("html", "body") and (name == "html" or any(getattr(c, "name", "") == "body" for c in root.children)):
             continue
         if name not in INLINE and name not in VOID or name in ENDS:
             ends = ENDS.get(name, frozenset()) | ({"p"} if name not in INLINE else frozenset())
             x, last = node, None
-            while x is not root and (x.name not in BOUNDARY or x.name in ends):
+            while any(opened[e] for e in ends) and x is not root and (x.name not in BOUNDARY or x.name in ends):
                 if x.name in ends:
                     last = x
                 x = x.parent
             if last is not None:
-                node = last.parent
+                close_to(last.parent)
         child = _Node(name, node, _no_article(name, attributes, node))
         node.children.append(child)
         if name in RAW:
@@ -130,6 +137,7 @@ def parse(page: str) -> _Node:
             at = close.end() if close else end
         elif name not in VOID and not attributes.endswith("/"):
             node = child
+            opened[name] += 1
     return root
 
 
@@ -198,11 +206,12 @@ def main_element(root: _Node) -> _Node:
     while x is not body:
         x = x.parent
         least = min(least, x.density)
-    best = x = max((x for x in nodes if x.density >= least), key=lambda x: x.sum)
-    while x is not body:
-        if x.name in ("article", "main"):
-            return x
-        x = x.parent
+    best = max((x for x in nodes if x.density >= least), key=lambda x: x.sum)
+    while best is not body:
+        more, links = best.parent.chars - best.chars, best.parent.link_chars - best.link_chars
+        if more > best.chars or 2 * links > more:
+            break
+        best = best.parent
     return best
 
 
