@@ -85,10 +85,15 @@ def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+# Words of a vote on the floor.
+FLOOR = r"(?i)floor|third reading|final passage|final reading|passage"
+
+
 def floor_vote(votes: DataFrame, group: str, seats: int) -> DataFrame:
-    """The vote that decided: one with a floor marker before others, then participation, then date; none
-    where the best has no marker and fewer than half of the seats took part."""
-    best = first_by(votes, [group], [F.desc("marker"), F.desc("participation"), F.desc("day"), "vote_id"])
+    """The vote that decided, of votes with desc, participation and day: committees' votes aside, one with a floor marker before
+    others, then participation, then date; none where the best has no marker and fewer than half of the seats took part."""
+    floor = votes.where(~F.lower(F.coalesce("desc", F.lit(""))).contains("committee")).withColumn("marker", F.coalesce(F.col("desc").rlike(FLOOR), F.lit(False)))
+    best = first_by(floor, [group], [F.desc("marker"), F.desc("participation"), F.desc("day"), "vote_id"])
     return best.where(F.col("marker") | (F.col("participation") * 2 >= seats))
 
 
@@ -104,9 +109,3 @@ def budget_prefix(df: DataFrame, group: str, order: str, size: str, most: int) -
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = df.withColumn("running", F.sum(size).over(w))
     return run.withColumn("__over", F.max((F.col("running") > most).cast("int")).over(w)).where("__over = 0").drop("__over")
-
-
-def seats(members: DataFrame, positions: DataFrame, group: str) -> DataFrame:
-    """The i-th member of a chamber in the i-th place of its plan."""
-    number = lambda df, order: df.withColumn("seat", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return number(members, ["party_rank", "member"]).join(positions, [group, "seat"])

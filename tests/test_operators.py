@@ -61,6 +61,6 @@ def test_consistency_is_silent_on_clean_votes(spark):
 
 
 def test_floor_vote_needs_a_marker_or_half_of_the_seats(spark):
-    rows = [("a", 1, False, 30, 1), ("b", 2, True, 30, 1), ("b", 3, False, 90, 1), ("c", 4, False, 80, 1)]
-    got = records.floor_vote(spark.createDataFrame(rows, "bill string, vote_id int, marker boolean, participation int, day int"), "bill", 100)
+    rows = [("a", 1, "Motion", 30, 1), ("b", 2, "Third Reading", 30, 1), ("b", 3, "Motion", 90, 1), ("c", 4, None, 80, 1), ("c", 5, "Floor, in committee", 99, 1)]
+    got = records.floor_vote(spark.createDataFrame(rows, "bill string, vote_id int, desc string, participation int, day int"), "bill", 100)
     assert sorted(r.vote_id for r in got.collect()) == [2, 4]
