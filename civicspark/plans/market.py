@@ -29,10 +29,10 @@ def trades_windows_after(spark, d):
     return trades.favorable(_moves(spark, d))
 
 
-@query("trades_notable_top60", sql(_MOVES + """, good AS (SELECT * FROM scored WHERE favorable >= 12 AND (SELECT max(trade_date) FROM scored) - trade_date >= 30)
+@query("trades_notable_top60", sql(_MOVES + """, good AS (SELECT * FROM scored WHERE favorable >= 12 AND (SELECT max(trade_date) FROM trades) - trade_date >= 30)
     SELECT *, (SELECT count(*) FROM good) AS found FROM good ORDER BY favorable DESC, ticker, member, trade_date, amount_low LIMIT 60""", "trades", "prices"))
 def trades_notable_top60(spark, d):
-    return trades.notable(trades.favorable(_moves(spark, d)))
+    return trades.notable(trades.favorable(_moves(spark, d)), a.trades(spark, d).agg(F.max("trade_date")))
 
 
 _NEAR = "FROM trades t JOIN law_dates e ON t.ticker = e.ticker WHERE e.event_date - t.trade_date BETWEEN -30 AND 75"
@@ -50,7 +50,7 @@ def trades_near_event(spark, d):
     FROM sectors s JOIN who USING (ticker) LEFT JOIN near USING (ticker) LEFT JOIN big USING (ticker) WHERE s.sector IN ('PROMO', 'STANDARD')
     ORDER BY near_count DESC, largest_move DESC NULLS LAST, traders DESC, s.ticker LIMIT 25""", "trades", "prices", "law_dates", "sectors"))
 def market_linkage_top25(spark, d):
-    return trades.linkage(a.trades(spark, d), a.law_dates(spark, d), _moves(spark, d), a.sectors(spark, d), ["PROMO", "STANDARD"])
+    return trades.linkage(a.trades(spark, d), a.law_dates(spark, d), a.prices(spark, d), a.sectors(spark, d), ["PROMO", "STANDARD"])
 
 
 @query("market_traded_tickers", sql("SELECT ticker, any_value(company) AS company, any_value(sector) AS sector, count(DISTINCT member) AS traders FROM trades JOIN sectors USING (ticker) WHERE sector <> 'ECONOMY' GROUP BY ticker", "trades", "sectors"))
@@ -79,7 +79,7 @@ def trades_page_search(spark, d):
     return trades.page(hits, [F.desc("trade_date"), "ticker", "member", "kind", "amount_low"], 2, 50)
 
 
-_LABELS = "CASE " + " ".join(f"WHEN amount_low >= {low} THEN '{label}'" for low, label in trades.AMOUNT_RANGES) + " END"
+_LABELS = "CASE " + " ".join(f"WHEN amount_low >= {low} THEN '{label}'" for low, label in trades.AMOUNT_RANGES) + f" WHEN amount_low IS NOT NULL THEN '{trades.AMOUNT_RANGES[-1][1]}' END"
 
 
 @query("amount_range_label", sql(f"SELECT {_LABELS} AS label, kind, count(*) AS n, min(amount_low) AS least, max(amount_low) AS most FROM trades GROUP BY ALL", "trades"))

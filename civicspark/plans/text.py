@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..io import table
+from ..operators import vectors
 from ..registry import query
 
 
@@ -45,11 +46,17 @@ def transcript_segments(spark, d):
     SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8""")
 def vector_topk(spark, d):
     """The eight nearest vectors of each query: a stated query set against all rows."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(e, e.where("vec_id % 20 = 0"))
+
+
+@query("vector_topk_filtered", """WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 = 0),
+    s AS (SELECT query, e.vec_id, floor(list_cosine_similarity(x, CAST(e.embedding AS DOUBLE[])) * 10000 + 0.5) / 10000 AS similarity FROM q JOIN embeddings e ON e.vec_id <> query AND e.label IN (1, 2, 3))
+    SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def vector_topk_filtered(spark, d):
+    """The five nearest vectors of some labels: the filter comes before the search."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"))
-    s = e.join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", (F.floor(t.cosine(F.col("x"), F.col("embedding")) * 10000 + 0.5) / 10000).alias("similarity"))
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 8")
+    return vectors.nearest(e.where(F.col("label").isin(1, 2, 3)).select("vec_id", "embedding"), e.where("vec_id % 20 = 0").select("vec_id", "embedding"), k=5)
 
 
 @query("quote_evidence_missing", "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))")
