@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if after == seal or not after[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seal = after
-        now = stored(_small_star(_large_star(now)), "edges")
+        before, now = now, stored(_small_star(_large_star(now)), "edges")
+        forget(before)
