@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from civicspark.operators import money, records, temporal, trades
+from civicspark.functions import bills, people, text
+from civicspark.operators import money, records, seats, temporal, trades
 
 D = dt.date
 
@@ -31,7 +32,43 @@ def test_intervals_that_touch_merge(spark):
 
 def test_amount_labels(spark):
     rows = spark.createDataFrame([(0,), (1,), (1000,), (1001,), (60_000_000,)], "low long").select(trades.amount_label(F.col("low")).alias("x")).collect()
-    assert [r.x for r in rows] == [None, "$1 - $1,000", "$1 - $1,000", "$1,001 - $15,000", "Over $50,000,000"]
+    assert [r.x for r in rows] == ["$1–$1K", "$1–$1K", "$1–$1K", "$1K–$15K", "$50M+"]
+
+
+def test_amended_laws_from_titles_and_summaries(spark):
+    cases = [
+        ("To amend the Clean Air Act of 1970, and for other purposes.", None, ("Amends", "Clean Air Act")), ("A bill to reauthorize the Farm Program to 2030.", None, ("Reauthorizes", "Farm Program")),
+        ("A short title", "This bill is to amend the Public Health Service Act.\nMore to amend nothing, here.", ("Amends", "Public Health Service Act")), ("To amend it.", None, None), ("", "", None),
+    ]
+    df = spark.createDataFrame([(t, s) for t, s, _ in cases], "t string, s string").select(bills.amends(F.col("t"), F.col("s")).alias("a"))
+    assert [tuple(r.a) if r.a else None for r in df.collect()] == [want for _, _, want in cases]
+
+
+def test_bill_ids_are_whole_questions(spark):
+    federal = {"H.R. 3684": ("hr", 3684), "show me s 12": ("s", 12), "H. J. Res. 7.": ("hjres", 7), "what did anyone do about S. 2208": None, "HR 0": None, "hr": None, "SConRes 5": ("sconres", 5)}
+    df = spark.createDataFrame([(q,) for q in federal], "q string").select("q", bills.federal_bill(F.col("q")).alias("b"))
+    assert {r.q: tuple(r.b) if r.b else None for r in df.collect()} == federal
+    state = {"HB 12": ("HB", 12, None), "sb 7 from 2019": ("SB", 7, "2019"), "the AB 5 in the 88th legislature": ("AB", 5, "88"), "LD 3, second session": None}
+    df = spark.createDataFrame([(q,) for q in state], "q string").select("q", bills.state_bill(F.col("q")).alias("b"), bills.state_session(F.col("q")).alias("s"))
+    assert {r.q: (*r.b, r.s) if r.b else None for r in df.collect()} == state
+
+
+def test_member_keys(spark):
+    names = {"Soto-Mart\u200bínez": "SOTO-MARTINEZ", "CURREN D. PRICE JR.": "PRICE", "Bob Blumenfield": "BLUMENFIELD", "III": "", "": ""}
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", people.member_key(F.col("n")).alias("k"))
+    assert {r.n: r.k for r in df.collect()} == names
+
+
+def test_chamber_plans():
+    for n, rows in ((5, 2), (100, 5), (1, 3)):
+        assert sum(seats.row_sizes(n, rows)) >= n and seats.row_sizes(n, rows) == sorted(seats.row_sizes(n, rows))
+        plan = seats.chamber_plan(n, rows)
+        assert [s for s, *_ in plan] == list(range(1, n + 1)) and all(-1 <= x <= 1 and 0 <= y <= 1 for _, _, x, y in plan)
+
+
+def test_character_references(spark):
+    df = spark.createDataFrame([("a &amp; b &#233; &#x1F600; &nope; & &lt;",)], "h string").select(text.unescape(F.col("h")).alias("x"))
+    assert df.first().x == "a & b é 😀 &nope; & <"
 
 
 def test_spend_takes_the_first_that_counts(spark):
