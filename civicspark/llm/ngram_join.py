@@ -41,9 +41,6 @@ GATHER, HOT = 1 << 20, 64
 RARE = 0.02
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 1 << 18
-#: Comparisons across components, as a multiple of the candidates, from which another round of stars comes first, as long
-#: as a round leaves less than STUCK of them.
-ACROSS, STUCK = 4, 0.8
 
 _words: dict[bytes, int] = {}
 
@@ -203,24 +200,18 @@ def parity(sets: list[np.ndarray], cells: int = 64 * PARITY) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sets), cells // 64)
 
 
-def fine_parity(s: np.ndarray) -> bytes | None:
-    """The parity map of a large set over the power of two of cells that is at least twice its size."""
-    return parity([s], 1 << int(2 * len(s) - 1).bit_length())[0].tobytes() if len(s) > FINE else None
-
-
-def bits_apart(a: bytes, b: bytes) -> int:
-    """Differing bits of two such maps; the larger is folded to the size of the smaller."""
-    x, y = (np.frombuffer(m, np.uint64) for m in sorted((a, b), key=len))
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+def fine_parity(s: np.ndarray) -> np.ndarray | None:
+    """The parity map of a large set over the power of two of cells that is at least its size."""
+    return parity([s], 1 << int(len(s) - 1).bit_length())[0] if len(s) > FINE else None
 
 
 #: What travels. A document: its node, its id, the smallest node among equal sets of its task, its set's size and maps (for
 #: one of equal sets). Signatures of a cell (sigs: h, node), and of sets of one task that many of them share (groups: h, node, lead).
-_SENT = pa.schema([("cell", pa.int32()), ("id", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("fine", pa.binary()), ("sigs", pa.binary()), ("groups", pa.binary())])
-_SENT_DDL = "cell int, id long, doc_id long, rep long, n long, parity array<long>, fine binary, sigs binary, groups binary"
+_SENT = pa.schema([("cell", pa.int32()), ("id", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64())), ("sigs", pa.binary()), ("groups", pa.binary())])
+_SENT_DDL = "cell int, id long, doc_id long, rep long, n long, parity array<long>, fine array<long>, sigs binary, groups binary"
 #: Documents as above (h null), and members of signatures that several sets share: lead is the smallest.
 _LIVE = pa.schema([*(_SENT.field(c) for c in ("id", "doc_id", "rep", "n", "parity", "fine")), ("h", pa.int64()), ("lead", pa.int64())])
-_LIVE_DDL = "id long, doc_id long, rep long, n long, parity array<long>, fine binary, h long, lead long"
+_LIVE_DDL = "id long, doc_id long, rep long, n long, parity array<long>, fine array<long>, h long, lead long"
 
 
 def _rows(schema: pa.Schema, count: int, /, **columns: object) -> pa.RecordBatch:
@@ -332,22 +323,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _may_link(how: Similarity, size_a: Column, size_b: Column, a: Column, b: Column) -> Column:
-    """False only if the parity maps show that the sets differ in too many elements."""
-    apart = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(PARITY)), F.lit(0))
-    return apart * (how.den + how.num) <= (size_a + size_b) * (how.den - how.num)
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Differing bits of two finer maps; where one has twice the cells, its halves are put together first. 0 where one isn't there."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda m: F.zip_with(F.slice(m, F.lit(1), (F.size(m) / 2).cast("int")), F.slice(m, (F.size(m) / 2).cast("int") + 1, (F.size(m) / 2).cast("int")), xor)
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    same = F.when(F.size(a) == F.size(b), apart(a, b)).when(F.size(a) == 2 * F.size(b), apart(folded(a), b)).when(F.size(b) == 2 * F.size(a), apart(a, folded(b)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(same, F.lit(0))).otherwise(0)
 
 
-def _finer(how: Similarity):
-    """The same by the finer maps, where both sets have one."""
+def _may_link(how: Similarity, a: str, b: str) -> Column:
+    """False only if the sizes or parity maps (columns n, p, f with these endings) show that the sets differ in too many elements."""
+    na, nb, pa_, pb, fa, fb = (F.col(x + y) for x in "npf" for y in (a, b))
+    apart = sum((F.bit_count(F.get(pa_, i).bitwiseXOR(F.get(pb, i))) for i in range(PARITY)), F.lit(0))
+    most = (na + nb) * (how.den - how.num)
+    return (F.least(na, nb) * how.den >= F.greatest(na, nb) * how.num) & (apart * (how.den + how.num) <= most) & (_bits_apart(fa, fb) * (how.den + how.num) <= most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v, n, fa, fb = (c.to_pylist() for c in b.columns)
-            keep = [x is None or y is None or bits_apart(x, y) * (how.den + how.num) <= m * (how.den - how.num) for m, x, y in zip(n, fa, fb, strict=True)]
-            yield batch({"u": b.column(0).filter(pa.array(keep, pa.bool_())), "v": b.column(1).filter(pa.array(keep, pa.bool_()))}, _PAIRS)
 
-    return run
+def _mapped(maps: DataFrame, key: str, end: str) -> DataFrame:
+    return maps.select(F.col("id").alias(key), F.col("n").alias("n" + end), F.col("parity").alias("p" + end), F.col("fine").alias("f" + end))
 
 
 def _verifier(how: Similarity):
@@ -376,10 +370,8 @@ def _verifier(how: Similarity):
 def _linked(pairs: DataFrame, maps: DataFrame, rows: DataFrame, how: Similarity, partitions: int) -> DataFrame:
     """Of the pairs (u, v) those whose sets are similar enough. Sizes and parity maps come first, so that few texts
     move; what is left is cut into stars around u, and these into chunks, each with its leader's text."""
-    side = lambda id_, x: maps.select(F.col("id").alias(id_), F.col("n").alias("n" + x), F.col("parity").alias("p" + x), F.col("fine").alias("f" + x))
-    near = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u")
-    near = near.where((F.least("na", "nb") * how.den >= F.greatest("na", "nb") * how.num) & _may_link(how, F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
-    near = stored(near.select("u", "v", (F.col("na") + F.col("nb")).alias("n"), "fa", "fb").mapInArrow(_finer(how), "u long, v long"), "near-pairs")
+    near = pairs.join(_mapped(maps, "v", "b"), "v").join(_mapped(maps, "u", "a"), "u")
+    near = stored(near.where(_may_link(how, "a", "b")).select("u", "v"), "near-pairs")
     chunks = near.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     cut = near.join(chunks, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("chunk"))
     need = cut.select(F.col("v").alias("id"), "u", "chunk").unionByName(cut.select(F.col("u").alias("id"), "u", "chunk").distinct())
@@ -401,34 +393,26 @@ def _grouped(docs: DataFrame, node: str, partitions: int, how: Similarity, doc_i
     links = stored(_linked(tested, maps, rows, how, partitions), "links")
     equal = members.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     found = components(links.unionByName(equal))
-    n_live, turn, before, done = live.count(), 0, None, False
-    while n_live and not done:
+    for last in (False, True):
         # What is left: signatures whose members lie in several components.
         named = stored(live.join(found, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("root", "id").alias("comp")).distinct(), "named")
         by_comp = named.groupBy("h", "comp").agg(F.count("*").alias("c"))
-        split = stored(by_comp.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.max("c").alias("most"), F.sum("c").alias("all")).where("most < all"), "split")
-        across = split.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        done = across <= ACROSS * n_live or (before is not None and across >= STUCK * before)
+        split = stored(by_comp.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "split")
         open_rows = stored(named.join(split, "h").select("h", "id", "comp", "big"), "open")
         forget(named, split)
-        if done:  # all that is left
-            mapped = stored(open_rows.join(maps.select("id", "n", "parity"), "id"), "mapped")
-            few = mapped.where("comp <> big").select("h", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("parity").alias("px"))
-            near = (F.least("n", "nx") * how.den >= F.greatest("n", "nx") * how.num) & _may_link(how, F.col("n"), F.col("nx"), F.col("parity"), F.col("px"))
-            new = few.join(mapped, "h").where((F.col("comp") != F.col("cx")) & near)
+        if last:  # all pairs across components, but those that sizes and maps rule out
+            mapped = stored(open_rows.join(_mapped(maps, "id", "b"), "id"), "mapped")
+            few = mapped.where("comp <> big").select("h", F.col("id").alias("x"), F.col("comp").alias("cx"), *[F.col(c + "b").alias(c + "a") for c in "npf"])
+            new = few.join(mapped, "h").where((F.col("comp") != F.col("cx")) & _may_link(how, "a", "b"))
             new = new.select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
         else:  # another star, around another member
-            turn += 1
-            stars = open_rows.groupBy("h").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("s"))
+            stars = open_rows.groupBy("h").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id")).alias("s"))
             new = open_rows.join(stars, "h").where(F.col("comp") != F.col("s.comp"))
             new = new.select(F.least("s.id", "id").alias("u"), F.greatest("s.id", "id").alias("v"))
         new = stored(new.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        forget(open_rows)
         more = stored(_linked(new, maps, rows, how, partitions), "links")
         tested = tested.unionByName(new)
-        before = across
-        if more.take(1):
-            old, found = found, components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     return members.join(found, F.col("id") == F.col("node"), "left").select("doc_id", F.col("id").alias("node"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("root"))
 
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from civicspark.llm import decontaminate, html_text, lm_ctw, media_avi, ngram_join, packing, quality_cnn, queries, sharding, token_files, warc
 
@@ -258,3 +259,33 @@ def test_pipeline_keeps_the_columns_and_good_documents(spark):
         docs = spark.createDataFrame(kept.collect(), docs.schema)
         assert docs.count() > 0
     assert corpus_pipeline.pack(spark, docs, DIR).count() == docs.count()
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 500):
+        h = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        a, b = rng.integers(-(1 << 62), 1 << 62, n), rng.integers(-5, 5, n)
+        got = ngram_join.unpack(ngram_join.pack(h, a, b), 2)
+        assert all((x == y).all() for x, y in zip(got, (h.view(np.int64), a, b), strict=True))
+
+
+def test_fine_parity_never_exceeds_the_difference(spark):
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64))
+    for cut in (0, 1, 300, 1100, 1900):
+        other = np.unique(np.concatenate((base[cut:], rng.integers(0, 2**63, 2 * cut).astype(np.uint64))))
+        a, b = ([int(w) for w in ngram_join.fine_parity(s)] for s in (base, other))
+        df = spark.createDataFrame([(a, b), (a, None)], "a array<long>, b array<long>")
+        apart = [r[0] for r in df.select(ngram_join._bits_apart(F.col("a"), F.col("b"))).collect()]
+        assert apart[1] == 0 and apart[0] <= len(np.setxor1d(base, other)) and (cut == 0) == (apart[0] == 0)
+
+
+def test_ngram_join_tells_texts_of_one_id_apart(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words), " ".join(words[:39]), " ".join(f"x{i}" for i in range(40))
+    df = spark.createDataFrame([(9, a, "p"), (9, c, "q"), (9, c, "q"), (3, b, "r"), (4, c, "s"), (None, a, "t"), (5, "", "u"), (6, None, "v")], "doc_id long, text string, __node string")
+    got = ngram_join.similar_components(df, ngram_join.Similarity(ngram=3, num=90)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(9, 3), (9, 4), (9, 4), (3, 3), (4, 4), (None, None), (5, 5), (6, 6)])
+    kept = ngram_join.keep_one(df, ngram_join.Similarity(ngram=3, num=90))
+    assert kept.columns == df.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", b), ("4", c), ("None", a), ("5", ""), ("6", None)], key=lambda x: (x[0], x[1] or ""))
