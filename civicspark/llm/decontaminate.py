@@ -129,7 +129,8 @@ def _contaminated(rows: DataFrame, item: DataFrame, n: int, similarity: float, r
 
     # Exact similarity of what lies within the radius.
     weights = F.map_from_entries("item_features")
-    shared = F.aggregate("features", F.lit(0.0), lambda a, f: a + F.coalesce(F.least(f["w"], F.try_element_at(F.col("weights"), f["h"])), F.lit(0.0)))
+    held_by_item = lambda f: F.coalesce(F.try_element_at(F.col("weights"), f["h"]), F.lit(0.0))
+    shared = F.aggregate("features", F.lit(0.0), lambda a, f: a + F.least(f["w"], held_by_item(f)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, f: a + f["w"])
     both = close.join(window.drop("print"), ["m", "content"]).join(target.drop("item_print"), ["m", "item_id"]).withColumn("weights", weights)
     both = both.select("m", "content", "item_id", "distance", shared.alias("shared"), (total("features") + total("item_features")).alias("sum"))
@@ -140,6 +141,10 @@ def _contaminated(rows: DataFrame, item: DataFrame, n: int, similarity: float, r
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that no benchmark item is in."""
+    """The documents, with all their columns, that no benchmark item is in.
+
+    Rows with a null id or text stay; of rows that repeat an id all go if an item is in one of their texts; repeated rows
+    stay or go together; an empty table gives no rows.
+    """
     bad = stored(contaminated(docs, items).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
