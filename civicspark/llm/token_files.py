@@ -31,6 +31,8 @@ from .common import batch, shared_dir, text_bytes
 
 #: Text bytes that a part holds about.
 PART_BYTES = 32 << 20
+#: Parts that there are at most, so that their bounds stay a short list; beyond, parts grow.
+MOST_PARTS = 10_000
 #: Words, and as many of their stems, whose ids a Python worker remembers.
 CACHE_WORDS = 1 << 19
 
@@ -172,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         raise ValueError(f"the end id {end_id} leaves no zero byte for the sink")
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // PART_BYTES))
+    parts = min(MOST_PARTS, max(1, -(-total // PART_BYTES)))
     cuts = [i / parts for i in range(1, parts)]
     bounds = rows.agg(F.percentile_approx("doc_id", cuts, 100 * parts)).first()[0] if cuts else []
     encoded = rows.mapInArrow(_encoder(tokenizer, dtype, end, bounds), "part int, doc_id long, crc long, ids binary")
@@ -230,7 +232,8 @@ def _reader(dtype: str):
 def read_tokens(spark: SparkSession, path: str, dtype: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     found = parts(spark, path, dtype)
-    return found.repartition(F.col("part")).mapInArrow(_reader(dtype), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = max(1, found.count())  # files, not documents: a task for each, which adaptive execution must not put together
+    return found.repartitionById(n, F.col("part") % n).mapInArrow(_reader(dtype), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, path: str | None = None) -> DataFrame:
