@@ -24,6 +24,9 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = b"1970-01-01T00:00:00Z"
 
+#: Bytes of a file of average pages before compression, and of a record's headers: a file is read whole.
+FILE_BYTES, HEAD_BYTES = 256 << 20, 512
+
 
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -114,7 +117,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
     roles = meta.join(owners, F.col("sha256") == F.col("digest"), "left").select(F.col("page_id").alias("id"), F.col("sha256").alias("id_sha256"), F.when(other, F.col("owner")).alias("refers_to"))
     placed = rows.join(roles, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha256") == F.col("id_sha256")))
     packed = placed.select("page_id", "url", "payload", "sha256", "refers_to").mapInArrow(_pack, "member binary")
-    packed.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
+    size = meta.agg(F.avg("n")).first()[0] or 0
+    members = packed.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000")
+    members.option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + HEAD_BYTES)))).text(path)
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("headers", pa.binary()), ("sha1", pa.string()), ("sha256", pa.string()), ("payload", pa.binary()), ("verified", pa.bool_())])
