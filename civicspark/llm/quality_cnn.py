@@ -27,6 +27,8 @@ EMBED, FILTER, STRIDE, FILTERS = 6, 8, 2, 24
 HALF = 256
 CHUNK = 2 * HALF
 EPOCHS, BATCH, RATE, DECAY = 12, 16, 0.01, 1e-5
+#: Places of a half from which a filter reaches beyond it; in a text's last half these would see the next text.
+OVER = (HALF - FILTER) // STRIDE + 1
 #: Bytes that one pass of the scorer takes.
 PASS = 1 << 20
 
@@ -85,12 +87,16 @@ def score(net: Network, texts: list[bytes]) -> np.ndarray:
             hi += 1
         buffer, halves = _padded(texts[lo:hi])
         total, per = int(halves.sum()), HALF // STRIDE
+        last = np.zeros(total, bool)
+        last[np.cumsum(halves) - 1] = True
         half = np.empty((total, FILTERS), np.float32)
         step = 64
         for a in range(0, total, step):
             z = min(total, a + step)
             windows = _windows(net, buffer[a * HALF : z * HALF + FILTER])
-            half[a:z] = (windows @ net.filters).reshape(z - a, per, FILTERS).max(axis=1)
+            found = (windows @ net.filters).reshape(z - a, per, FILTERS)
+            found[last[a:z], OVER:] = -np.inf
+            half[a:z] = found.max(axis=1)
         half = np.maximum(half + net.bias, 0)
         chunks, _, counts = _pooled(half, halves)
         starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -104,6 +110,7 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.
     windows = _windows(net, buffer)
     total, per = int(halves.sum()), HALF // STRIDE
     response = (windows @ net.filters).reshape(total, per, FILTERS)
+    response[np.cumsum(halves) - 1, OVER:] = -np.inf
     place = response.argmax(axis=1)
     raw = np.take_along_axis(response, place[:, None], 1)[:, 0] + net.bias
     half = np.maximum(raw, 0)
@@ -170,9 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes:
         .join(docs.where(F.octet_length("text") <= max_bytes).select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     )
-    rows = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.text)))
-    rows = rows[:max_docs]
+    rows = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_docs).collect()
     return train([bytes(r.text) for r in rows], np.array([float(r["__label"]) for r in rows]))
 
 
@@ -201,7 +206,11 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
-    """The rows whose score is at least that, with all their columns."""
+    """The rows whose score is at least that, with all their columns.
+
+    A null text is an empty one, and an empty one has a score; repeated rows and rows with a null id are judged each; an
+    empty table gives no rows; other columns stay, whatever their names.
+    """
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
