@@ -400,6 +400,8 @@ def _grouped(docs: DataFrame, node: str, partitions: int, how: Similarity, doc_i
         split = stored(by_comp.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "split")
         open_rows = stored(named.join(split, "h").select("h", "id", "comp", "big"), "open")
         forget(named, split)
+        if not open_rows.take(1):
+            break
         if last:  # all pairs across components, but those that sizes and maps rule out
             mapped = stored(open_rows.join(_mapped(maps, "id", "b"), "id"), "mapped")
             few = mapped.where("comp <> big").select("h", F.col("id").alias("x"), F.col("comp").alias("cx"), *[F.col(c + "b").alias(c + "a") for c in "npf"])
@@ -412,7 +414,8 @@ def _grouped(docs: DataFrame, node: str, partitions: int, how: Similarity, doc_i
         new = stored(new.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         more = stored(_linked(new, maps, rows, how, partitions), "links")
         tested = tested.unionByName(new)
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        if more.take(1):
+            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     return members.join(found, F.col("id") == F.col("node"), "left").select("doc_id", F.col("id").alias("node"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("root"))
 
 
