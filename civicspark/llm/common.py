@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,6 +61,17 @@ def text_bytes(text: str | Column = "text") -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
+def word_pieces(text: bytes, table: bytes, step: int = 8 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in pieces of about step bytes, one at least. table: 256 bytes, in which what parts words is a space."""
+    text = text.translate(table)
+    at = 0
+    while at < len(text) or not at:
+        end = text.find(b" ", at + step) if len(text) - at > step else -1
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = max(end, 1)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text falls on this remainder; a null id never does."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
