@@ -1,6 +1,6 @@
 """The queries, by family; importing this package registers them."""
 
 from ..registry import ORACLES, QUERIES
-from . import bill_texts, bills, checks, lookups, market, minutes, people, records, rollups, text, upserts
+from . import extracts, bill_texts, bills, checks, lookups, market, minutes, people, records, rollups, text, upserts
 
 __all__ = ["ORACLES", "QUERIES", "bill_texts", "bills", "checks", "lookups", "market", "minutes", "people", "records", "rollups", "text", "upserts"]
