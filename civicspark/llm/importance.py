@@ -30,7 +30,9 @@ NGRAM, BUCKETS = 3, 10_000
 #: Shortest documents that are drawn from, in words; the share that is drawn, in hundredths; the noise's seed.
 LEAST_WORDS, PERCENT, SEED = 20, 5, 42
 #: Bytes of text in one trie, and words whose numbers a task remembers.
-BLOCK, VOCABULARY = 8 << 20, 1 << 20
+BLOCK, VOCABULARY = 4 << 20, 1 << 19
+#: Longest word, with the space before it, by whose length states move on all at once.
+LONGEST = 64
 
 #: Bytes of words as they count (0-9, a-z, all beyond ASCII; A-Z lowered); others part words.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -44,6 +46,16 @@ class _Numbers(dict):
         return n
 
 
+def _moves(longest: int) -> np.ndarray:
+    """What each byte of a CRC-32 state becomes when so many zero bytes follow. States are linear in this sense: the state
+    after two texts is the first one's, moved on by the second one's length, xor the second one's."""
+    one = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.int64)
+    out = [np.arange(256, dtype=np.int64) << 8 * np.arange(4)[:, None]]
+    for _ in range(longest):
+        out.append(one[out[-1] & 255] ^ (out[-1] >> 8))
+    return np.array(out)
+
+
 @dataclass
 class Trie:
     """Nodes of each level, and for each word of the block the node of each level whose run it ends (-1: none that is counted)."""
@@ -56,33 +68,56 @@ class Trie:
 
 
 class TrieBuilder:
-    """Tries of one block after another; the words' numbers and first states go on between blocks, up to VOCABULARY words."""
+    """Tries of one block after another; the words' numbers and states go on between blocks, up to VOCABULARY words."""
 
     def __init__(self):
-        self.words: _Numbers = _Numbers()
-        self.names: list[bytes] = []
+        self.moves = _moves(LONGEST)
+        self._forget()
 
-    def build(self, words: list[bytes], owner: np.ndarray, fresh: np.ndarray) -> Trie:
-        """owner: the text of each word; fresh: False for words that only lead to others, their own runs being counted before."""
+    def _forget(self) -> None:
+        self.words, self.names = _Numbers(), []
+        self.alone = self.after = self.lengths = np.zeros(0, np.int64)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.words) > VOCABULARY:
-            self.words, self.names = _Numbers(), []
+            self._forget()
         ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         if len(self.words) > len(self.names):
-            self.names = list(self.words)
+            new = list(self.words)[len(self.names) :]
+            spaced = [b" " + w for w in new]
+            self.names += spaced
+            grown = lambda old, values: np.concatenate((old, np.fromiter(values, np.int64, len(new))))
+            # A word's state at a run's beginning, and as the end of a longer one.
+            self.alone, self.after, self.lengths = grown(self.alone, map(zlib.crc32, new)), grown(self.after, map(zlib.crc32, spaced)), grown(self.lengths, map(len, spaced))
+        return ids
+
+    def _go_on(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The states after a space and a word."""
+        length = self.lengths[words]
+        many = np.minimum(length, LONGEST)
+        out = self.after[words]
+        for k in range(4):
+            out ^= self.moves[many, k, (states >> 8 * k) & 255]
+        for i in np.flatnonzero(length > LONGEST).tolist():
+            out[i] = zlib.crc32(self.names[words[i]], int(states[i]))
+        return out
+
+    def build(self, words: list[bytes], owner: np.ndarray, fresh: np.ndarray) -> Trie:
+        """owner: the text of each word; fresh: False for words that only lead to others, their own runs being counted before."""
+        ids = self._numbers(words)
         level, nodes = pd.factorize(ids)
         level = level.astype(np.int64)
-        states = np.fromiter(map(zlib.crc32, map(self.names.__getitem__, nodes.tolist())), np.int64, len(nodes))
+        states = self.alone[nodes]
         found = Trie([states], [np.where(fresh, level, -1)])
         here = np.ones(len(ids), bool)
-        for n in range(2, NGRAM + 1):
+        for _ in range(2, NGRAM + 1):
             # The parent ends at the word before, in the same text.
             before, parent = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
             before[1:] = here[:-1] & (owner[1:] == owner[:-1])
             parent[1:] = level[:-1]
             at = np.flatnonzero(before)
             number, keys = pd.factorize((parent[at] << 32) | ids[at])
-            tails = [b" " + self.names[w] for w in (keys & 0xFFFFFFFF).tolist()]
-            states = np.fromiter(map(zlib.crc32, tails, states[keys >> 32].tolist()), np.int64, len(keys))
+            states = self._go_on(states[keys >> 32], keys & 0xFFFFFFFF)
             level = np.full(len(ids), -1, np.int64)
             level[at] = number
             here = before
@@ -126,7 +161,7 @@ def _blocks(texts: Iterator[bytes]) -> Iterator[tuple[_Held, int]]:
             held.sizes.append(len(words))
             held.leads.append(lead)
             held.texts.append(n - 1)
-            held.size += sum(map(len, words)) + len(words)
+            held.size += len(text) if len(text) <= BLOCK else BLOCK
             if held.size >= BLOCK:
                 yield held, n - 1
                 held = _Held([], [], [], [])
