@@ -30,7 +30,7 @@ NGRAM, BUCKETS = 3, 10_000
 #: Shortest documents that are drawn from, in words; the share that is drawn, in hundredths; the noise's seed.
 LEAST_WORDS, PERCENT, SEED = 20, 5, 42
 #: Bytes of text in one trie, and words whose numbers a task remembers.
-BLOCK, VOCABULARY = 4 << 20, 1 << 19
+BLOCK, VOCABULARY = 1 << 20, 1 << 17
 #: Longest word, with the space before it, by whose length states move on all at once.
 LONGEST = 64
 
