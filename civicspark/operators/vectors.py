@@ -1,4 +1,4 @@
-"""Nearest vectors of a stated query set against all rows, block by block."""
+"""Nearest vectors of a stated query set against all rows."""
 
 from __future__ import annotations
 
@@ -6,26 +6,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and rows of a block.
-QUERIES, ROWS = 256, 4096
+#: Queries and rows of a block; queries of a round, which are broadcast together.
+QUERIES, ROWS, ROUND = 256, 4096, 16_384
 
 
-def _blocks(df: DataFrame, ident: str, vector: str, name: str, size: int) -> DataFrame:
-    """name, ids, xs: rows in blocks of about that size, by the hash of their id. The size bounds what a block gathers."""
-    n = max(1, -(-df.count() // size))
-    cut = df.select(F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias(name), F.struct(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("x")).alias("r"))
-    packed = cut.groupBy(name).agg(F.collect_list("r").alias("r"))
-    return packed.select(name, F.transform("r", lambda r: r["id"]).alias(f"{name}_ids"), F.transform("r", lambda r: r["x"]).alias(f"{name}_xs"))
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
 
 
-def _nearest(k: int):
+def packed_blocks(df: DataFrame, by: list[str], ident: str, vector: str, name: str) -> DataFrame:
+    """by, name_ids, name_xs: the rows of each block as two arrays. The caller's blocks bound what one gathers."""
+    packed = df.groupBy(*by).agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("x"))).alias("r"))
+    return packed.select(*by, F.transform("r", lambda r: r["id"]).alias(f"{name}_ids"), F.transform("r", lambda r: r["x"]).alias(f"{name}_xs"))
+
+
+def score_blocks(k: int):
+    """Of blocks of queries beside blocks of rows, the k nearest rows of each query."""
     def unit(xs: pa.ListScalar) -> np.ndarray:
-        x = xs.values.flatten().to_numpy(zero_copy_only=False).reshape(len(xs.values), -1)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+        return _unit(xs.values.flatten().to_numpy(zero_copy_only=False).reshape(len(xs.values), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -41,15 +44,47 @@ def _nearest(k: int):
     return run
 
 
+def _in_place(k: int, sent: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, xs = sent.value
+        best: list[np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            s = np.floor(xs @ _unit(x).T * 10_000 + 0.5) / 10_000
+            s[ids[:, None] == own[None, :]] = np.nan
+            rows = np.broadcast_to(own, s.shape)
+            if best is not None:
+                s, rows = np.concatenate((best[0], s), axis=1), np.concatenate((best[1], rows), axis=1)
+            order = np.lexsort((rows, -s))[:, :k]  # nan, the query itself, comes last
+            best = [np.take_along_axis(s, order, axis=1), np.take_along_axis(rows, order, axis=1)]
+        if best is not None:
+            keep = ~np.isnan(best[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(best[1][keep]), pa.array(best[0][keep])], names=["query", "vec_id", "similarity"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query, vec_id, similarity (cosine, four decimals), rank: the k nearest rows of each query but itself, by similarity and id.
 
-    Blocks of queries meet blocks of rows by number; each meeting leaves k rows a query, which a second step ranks.
-    Vectors of one length; those without a direction are near nothing.
+    Every row meets every query where it lies: queries are broadcast in rounds of at most ROUND, so no row is shuffled;
+    each task leaves k rows a query, which a second step ranks. Vectors of one length; those without a direction are
+    near nothing. For many queries on many rows, vector_index searches less.
     """
-    q, rows = _blocks(queries, ident, vector, "qb", QUERIES), _blocks(vectors, ident, vector, "rb", ROWS)
-    n = max(1, -(-queries.count() // QUERIES))
-    met = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q, "qb")
-    best = met.select("qb_ids", "qb_xs", "rb_ids", "rb_xs").mapInArrow(_nearest(k), "query long, vec_id long, similarity double")
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(ident).cast("long"), F.col(vector).cast("array<double>").alias("x")).where(F.exists("x", lambda v: v != 0))
+    own = queries.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where(F.exists("x", lambda v: v != 0))
+    rounds = max(1, -(-own.count() // ROUND))
+    found = None
+    for i in range(rounds):
+        part = own.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == i).collect()
+        ids, xs = np.array([r.id for r in part], np.int64), _unit(np.array([r.x for r in part], float)) if part else np.zeros((0, 0))
+        if len(ids):
+            one = rows.mapInArrow(_in_place(k, spark.sparkContext.broadcast((ids, xs))), "query long, vec_id long, similarity double")
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], "query long, vec_id long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..io import table
-from ..operators import vectors
+from ..operators import vector_index, vectors
 from ..registry import query
 
 
@@ -41,15 +41,25 @@ def transcript_segments(spark, d):
     return marked.where(~F.col("role").isin("user", "system")).groupBy("conv_id", "seg").agg(F.min("turn").alias("first_turn"), F.count("*").alias("turns"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
-@query("vector_topk", """WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 = 0),
+_TOPK = """WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT query, e.vec_id, floor(list_cosine_similarity(x, CAST(e.embedding AS DOUBLE[])) * 10000 + 0.5) / 10000 AS similarity FROM q JOIN embeddings e ON e.vec_id <> query)
-    SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8""")
+    SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8"""
+
+
+@query("vector_topk", _TOPK)
 def vector_topk(spark, d):
     """The eight nearest vectors of each query: a stated query set against all rows."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     return vectors.nearest(e, e.where("vec_id % 20 = 0"))
 
 
+@query("vector_index_topk", _TOPK)
+def vector_index_topk(spark, d):
+    """The same out of an inverted file: the nearest lists first, then the others that could hold a nearer row."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vector_index.search(vector_index.fit(e), e.where("vec_id % 20 = 0"), exact=True)
+
+
 @query("vector_topk_filtered", """WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT query, e.vec_id, floor(list_cosine_similarity(x, CAST(e.embedding AS DOUBLE[])) * 10000 + 0.5) / 10000 AS similarity FROM q JOIN embeddings e ON e.vec_id <> query AND e.label IN (1, 2, 3))
     SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
