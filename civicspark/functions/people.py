@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from .bills import any_of
 
 # Fixed values.
 INVISIBLE = "​‌‍﻿"
-ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĘęĚěĞğĪīŃńŇňŌōŐőŘřŚśŠšŞşŢţŤťŪūŮůŰűŹźŻżŽž", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeGgIiNnNnOoOoRrSsSsSsTtTtUuUuUuZzZzZz"
 GENERATIONS = ["JR", "SR", "II", "III", "IV"]
 HONORIFIC = r"(?i)^(rep|sen|del|res|hon|senator|representative|commissioner|dr|mr|mrs|ms)\.?\s+"
 PARTIES = {"democratic": "Democratic", "democrat": "Democratic", "dem": "Democratic", "republican": "Republican", "rep": "Republican", "gop": "Republican", "independent": "Independent", "ind": "Independent", "libertarian": "Libertarian", "green": "Green", "nonpartisan": "Nonpartisan"}
@@ -21,9 +22,16 @@ NO_NAME = r"[\n\t]|\d|(?i:attachment|exhibit|committee report|resolution|ordinan
 FORMS_OF_ADDRESS = ["mr", "mr.", "mrs", "mrs.", "ms", "ms.", "dr", "dr.", "hon", "hon."]
 
 
+@F.pandas_udf("string")
+def without_accents(names: pd.Series) -> pd.Series:
+    """Compatible forms taken apart (NFKD), combining signs left out; nulls stay."""
+    return names.map(lambda n: None if n is None else n if n.isascii() else "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)))
+
+
 def member_key(name: Column) -> Column:
-    """The last word of a name in capitals, without accents, invisible characters, periods and generations."""
-    bare = F.translate(F.regexp_replace(name, f"[{INVISIBLE}̀-ͯ]", ""), ACCENTED, PLAIN)
+    """The last word of a name in capitals, without accents, invisible characters, periods and generations. Only names beyond
+    ASCII need Python, whose tables of characters Spark's functions lack."""
+    bare = without_accents(F.regexp_replace(F.coalesce(name, F.lit("")), f"[{INVISIBLE}]", ""))
     tokens = F.filter(F.split(F.translate(F.upper(bare), ".", ""), r"\s+"), lambda t: (t != "") & ~t.isin(GENERATIONS))
     return F.coalesce(F.get(tokens, F.size(tokens) - 1), F.lit(""))
 

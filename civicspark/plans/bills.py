@@ -44,7 +44,8 @@ def _sql(expression: str, select: str) -> str:
     return f"WITH q AS (SELECT o_orderkey, {expression} AS t FROM orders) {select}"
 
 
-_FEDERAL = r"^\s*(?:show me |find |tell me about |what is |what''s |open |bring up )?(?:the )?(h\.?\s*r\.?|s\.?|h\.?\s*j\.?\s*res\.?|s\.?\s*j\.?\s*res\.?|h\.?\s*con\.?\s*res\.?|s\.?\s*con\.?\s*res\.?|h\.?\s*res\.?|s\.?\s*res\.?)\s*\.?\s*(\d{1,5})\s*\.?\s*$"
+_INTRO = r"^\s*(?:show me |find |tell me about |what is |what''s |open |bring up )?(?:the )?"
+_FEDERAL = _INTRO + rf"({'|'.join(b.FEDERAL_TYPES)})\s*\.?\s*(\d{{1,5}})\s*\.?\s*$"
 
 
 @query("bill_id_fast_path", _sql(QUESTIONS, rf"""SELECT o_orderkey, lower(regexp_replace(m.kind, '[^A-Za-z]', '', 'g')) AS "type", CAST(m.num AS INTEGER) AS number
@@ -53,7 +54,7 @@ def bill_id_fast_path(spark, d):
     return _texts(spark, d, QUESTIONS).withColumn("bill", b.federal_bill(F.col("t"))).where("bill is not null").select("o_orderkey", "bill.type", "bill.number")
 
 
-_STATE = r"^\s*(?:show me |find |tell me about |what is |what''s |open |bring up )?(?:the )?(h\.?\s*b\.?|s\.?\s*b\.?|h\.?\s*r\.?|s\.?\s*r\.?|a\.?\s*b\.?|a\.?|s\.?|l\.?\s*b\.?|l\.?\s*d\.?|h\.?\s*f\.?|s\.?\s*f\.?)\s*\.?\s*(\d{1,5})\s*\.?\s*(?:(?:\s+from\s+|\s+in\s+|\s*,\s*)?(?:the\s+)?(?:(?:19|20)\d{2}|\d{1,3}(?:st|nd|rd|th)\s+(?:session|legislature|general\s+assembly)|session\s+of\s+(?:19|20)\d{2}))?\s*$"
+_STATE = _INTRO + rf"({'|'.join(b.STATE_TYPES)})\s*\.?\s*(\d{{1,5}})\s*\.?\s*(?:(?:\s+from\s+|\s+in\s+|\s*,\s*)?(?:the\s+)?(?:(?:19|20)\d{{2}}|\d{{1,3}}(?:st|nd|rd|th)\s+(?:session|legislature|general\s+assembly)|session\s+of\s+(?:19|20)\d{{2}}))?\s*$"
 
 
 @query("state_bill_fast_path", _sql(QUESTIONS, rf"""SELECT o_orderkey, upper(regexp_replace(m.kind, '[^A-Za-z]', '', 'g')) AS "type", CAST(m.num AS INTEGER) AS number, coalesce(nullif(y, ''), nullif(o, '')) AS requested FROM (
@@ -82,8 +83,8 @@ def congress_ranges(spark, d):
     return t.select("o_orderkey", F.element_at("c", 1).alias("newest"), F.element_at("c", -1).alias("oldest"))
 
 
-@query("bill_mentions", _sql(ACTIVITY, r"""SELECT DISTINCT o_orderkey, lower(regexp_replace(regexp_replace(hit, '\d+$', ''), '[^A-Za-z]', '', 'g')) AS "type", CAST(regexp_extract(hit, '(\d+)$', 1) AS INTEGER) AS number
-    FROM (SELECT o_orderkey, unnest(regexp_extract_all(t, '\b(?:H\.?\s?R\.?|S\.?|H\.?\s?J\.?\s?Res\.?|S\.?\s?J\.?\s?Res\.?|H\.?\s?Con\.?\s?Res\.?|S\.?\s?Con\.?\s?Res\.?|H\.?\s?Res\.?|S\.?\s?Res\.?)\s*\d{1,5}\b', 0, 'i')) AS hit FROM q) z"""))
+@query("bill_mentions", _sql(ACTIVITY, rf"""SELECT DISTINCT o_orderkey, lower(regexp_replace(regexp_replace(hit, '\d+$', ''), '[^A-Za-z]', '', 'g')) AS "type", CAST(regexp_extract(hit, '(\d+)$', 1) AS INTEGER) AS number
+    FROM (SELECT o_orderkey, unnest(regexp_extract_all(t, '\b(?:{'|'.join(b.MENTIONED_TYPES)})\s*\d{{1,5}}\b', 0, 'i')) AS hit FROM q) z"""))
 def bill_mentions(spark, d):
     return _texts(spark, d, ACTIVITY).select("o_orderkey", F.explode(b.bill_mentions(F.col("t"))).alias("bill")).select("o_orderkey", "bill.*")
 
@@ -182,3 +183,44 @@ def coded_values(spark, d):
     t = _texts(spark, d, CODES).withColumn("o", b.office_district(c))
     amount = F.when((c == "C") | c.startswith("$"), b.money(F.when((c == "C") | c.startswith("$"), c)))
     return t.select("o_orderkey", b.vote_word(c).alias("vote"), b.state_vote_word(c).alias("state_vote"), amount.alias("amount"), b.chamber_of(c).alias("chamber"), "o.state", "o.district", b.law_number(c).alias("law"))
+
+
+_FLAGGED = phrase("o_orderkey", [
+    "Recognizing the work of {n}", "To designate the post office of {n}", "Commending the team of {n}", "Roads and Bridges Act {n}", "National Day of Records {n}", "Celebrating the life of {n}",
+    "Naming a bridge", "Expressing the sense of the House", "acknowledging {n}", "To authorize the President to award a medal",
+], n="o_custkey")
+
+
+def _any(phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(t), '{p}')" for p in phrases) + ")"
+
+
+@query("ceremonial_titles", _sql(_FLAGGED, f"SELECT o_orderkey, {_any(b.CEREMONIAL)} AS search, {_any(b.FEED_CEREMONIAL)} AS feed, {_any(b.STATE_CEREMONIAL)} AS state FROM q"))
+def ceremonial_titles(spark, d):
+    """Whether a title has no substance, for searches, for the feed, and for searches in a state."""
+    t = F.lower("t")
+    return _texts(spark, d, _FLAGGED).select("o_orderkey", b.any_of(t, b.CEREMONIAL).alias("search"), b.any_of(t, b.FEED_CEREMONIAL).alias("feed"), b.any_of(t, b.STATE_CEREMONIAL).alias("state"))
+
+
+_STAGED = phrase("o_orderkey", [
+    "Introduced in House", "Referred to the Committee on {n}", "Ordered to be Reported by {n}", "Placed on Senate Calendar No. {n}", "Passed House by voice vote", "On passage in the Senate: passed",
+    "Failed of passage in Senate", "Presented to President.", "Became Public Law No: {n}", "Pocket veto by President", "Held at the desk", "Rejected by the House {n}", "Passed Senate; passed House", "Introduced in Senate; referred to subcommittee",
+], n="o_custkey")
+_STAGE_CASES = ", ".join(f"CASE WHEN regexp_matches(t, '{w}', 'i') THEN {{'rank': {b.STAGES[s]}, 'tried': {-i}, 'stage': '{s}'}} END" for i, (s, w) in enumerate(b.STAGE_WORDS))
+
+
+@query("bill_stages", f"""WITH q AS (SELECT o_custkey, o_orderkey, {_STAGED} AS t FROM orders WHERE o_orderkey % 3 > 0 OR o_custkey % 2 = 0),
+    s AS (SELECT o_custkey, o_orderkey, list_sort(list_filter([{_STAGE_CASES}], lambda x: x IS NOT NULL), 'DESC')[1] AS s FROM q)
+    SELECT o_custkey AS bill, coalesce(arg_max(s.stage, {{'rank': s.rank, 'early': -o_orderkey}}) FILTER (s IS NOT NULL), 'introduced') AS stage FROM s GROUP BY 1""")
+def bill_stages(spark, d):
+    """The most advanced stage that a bill's actions name, the first of several as far; a bill whose actions name none is introduced."""
+    actions = table(spark, d, "orders").where("o_orderkey % 3 > 0 OR o_custkey % 2 = 0").select("o_custkey", "o_orderkey", F.expr(_STAGED).alias("t"))
+    staged = actions.select("o_custkey", "o_orderkey", b.stage_of_action(F.col("t")).alias("s"))
+    best = F.max_by("s.stage", F.when(F.col("s").isNotNull(), F.struct("s.rank", -F.col("o_orderkey"))))
+    return staged.groupBy(F.col("o_custkey").alias("bill")).agg(F.coalesce(best, F.lit("introduced")).alias("stage"))
+
+
+@query("congress_years", "SELECT DISTINCT CAST(o_custkey % 130 AS INTEGER) AS congress, CAST((o_custkey % 130 - 1) * 2 + 1789 AS INTEGER) AS start, CAST((o_custkey % 130 - 1) * 2 + 1790 AS INTEGER) AS \"end\" FROM orders WHERE o_custkey % 130 > 0")
+def congress_years(spark, d):
+    c = (F.col("o_custkey") % 130).cast("int")
+    return table(spark, d, "orders").where(c > 0).select(c.alias("congress")).distinct().select("congress", b.congress_years(F.col("congress")).alias("y")).select("congress", "y.*")

@@ -139,13 +139,13 @@ def ticker_timeline(spark, d):
     return marks(prices, "price_date", "price").unionByName(marks(a.trades(spark, d).join(wanted, "ticker", "left_semi"), "trade_date", "trade")).unionByName(marks(laws, "event_date", "law"))
 
 
-@query("roster_fill", sql(""", m AS (SELECT vote_id, member, min(position) AS position FROM positions WHERE member % 2 = 0 GROUP BY ALL), r AS (SELECT s_suppkey AS member FROM supplier WHERE s_suppkey BETWEEN 1 AND 10), v AS (SELECT DISTINCT vote_id FROM positions WHERE vote_id % 10 = 0)
+@query("roster_fill", sql(""", m AS (SELECT vote_id, member, min(position) AS position FROM positions WHERE member % 2 = 0 GROUP BY ALL), r AS (SELECT s_suppkey AS member FROM supplier WHERE s_suppkey BETWEEN 1 AND 10), v AS (SELECT DISTINCT vote_id FROM positions)
     SELECT v.vote_id, r.member, coalesce(m.position, 'aye') AS position FROM v CROSS JOIN r LEFT JOIN m ON m.vote_id = v.vote_id AND m.member = r.member""", "positions"))
 def roster_fill(spark, d):
     """Every member of a body's roster votes aye on each of its votes, but where the minutes name another position. The roster is a list of ten seats."""
     p = a.positions(spark, d)
     named = p.where("member % 2 = 0").groupBy("vote_id", "member").agg(F.min("position").alias("position"))
-    votes = p.where("vote_id % 10 = 0").select("vote_id").distinct()
+    votes = p.select("vote_id").distinct()
     seats = votes.select("vote_id", F.explode(F.sequence(F.lit(1), F.lit(10)).cast("array<bigint>")).alias("member"))
     roster = table(spark, d, "supplier").select(F.col("s_suppkey").alias("member"))
     return seats.join(roster, "member", "left_semi").join(named, ["vote_id", "member"], "left").select("vote_id", "member", F.coalesce("position", F.lit("aye")).alias("position"))
@@ -222,14 +222,20 @@ def label_lines(spark, d):
     return pair.where(F.col("sector").isin("Energy", "Tech"))
 
 
-@query("json_repair", """SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS k, 'line one' || chr(10) || 'two' AS note FROM orders WHERE o_orderkey % 4 <> 3""")
+_ANSWERS = phrase("o_orderkey", [
+    '```json{nl}<"k": {n}, "note": "line one{nl}two">{nl}```', 'Sure: <"k": {n}, "note": "line one{nl}two"> done', '<{nl}  "k": {n},{nl}  "note": "a  b"{nl}>', "no object", '<"k": {n}, "note": <1>>', '<"k": {n}',
+], n="o_custkey")
+
+
+@query("json_repair", f"""WITH q AS (SELECT o_orderkey, translate({_ANSWERS}, '<>', chr(123) || chr(125)) AS t FROM orders),
+    o AS (SELECT o_orderkey, regexp_extract(t, '(?s)(\\{{.*\\}})', 1) AS body FROM q),
+    p AS (SELECT o_orderkey, string_agg(CASE WHEN i % 2 = 0 THEN replace(part, chr(10), '\\n') ELSE part END, '"' ORDER BY i) AS fixed FROM (SELECT o_orderkey, unnest(string_split(body, '"')) AS part, generate_subscripts(string_split(body, '"'), 1) AS i FROM o) z GROUP BY 1)
+    SELECT o_orderkey, CAST(json_extract_string(fixed, '$.k') AS BIGINT) AS k, json_extract_string(fixed, '$.note') AS note FROM p WHERE json_valid(fixed)""")
 def json_repair(spark, d):
-    """The outermost object of an answer with a fence and talk around it, line ends inside its strings allowed; others give nothing."""
-    body = F.concat(F.lit('{"k": '), F.col("o_custkey").cast("string"), F.lit(', "note": "line one\ntwo"}'))
-    answer = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Sure: "), body, F.lit(" done"))).when(F.col("o_orderkey") % 4 == 2, body).otherwise("no object")
-    inner = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(F.regexp_replace(inner, "\n", "\\\\n"), "k long, note string")
-    return table(spark, d, "orders").select("o_orderkey", parsed.alias("j")).where("j.k is not null").select("o_orderkey", "j.*")
+    """The outermost object of an answer with a fence and talk around it; line ends may stand inside its strings as between its parts. Others give nothing."""
+    answer = F.translate(F.expr(_ANSWERS), "<>", "{}")
+    parsed = F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), "k long, note string, bad string", {"allowUnquotedControlChars": "true", "columnNameOfCorruptRecord": "bad"})
+    return table(spark, d, "orders").select("o_orderkey", parsed.alias("j")).where("j.k is not null AND j.bad is null").select("o_orderkey", "j.k", "j.note")
 
 
 @query("known_acts", f"""WITH q AS (SELECT o_orderkey, lower({phrase('o_orderkey', ['show me the Clean Air Act', 'repeal the Clean Air Act', 'Voting Rights Act', 'what the civil rights act means for my small town business', 'roads'])}) AS t FROM orders)

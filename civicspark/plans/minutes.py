@@ -98,11 +98,11 @@ def bounded_places(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.when(inside, "inside").otherwise("outside").alias("place"), F.when(F.col("s_suppkey") % 2 == 0, 0.9).otherwise(0.5).alias("confidence"))
 
 
-@query("confidence_merge", """SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS congresses, CAST(CASE WHEN count(DISTINCT year(o_orderdate)) >= 3 THEN 0.55 ELSE 0.9 END AS DOUBLE) AS confidence FROM orders GROUP BY 1""")
+@query("confidence_merge", """SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS congresses, CASE WHEN count(DISTINCT year(o_orderdate)) >= 3 THEN least(CAST(max(o_orderkey % 10) AS DOUBLE) / 10, 0.55) ELSE CAST(max(o_orderkey % 10) AS DOUBLE) / 10 END AS confidence FROM orders GROUP BY 1""")
 def confidence_merge(spark, d):
-    """An answer that spreads over three Congresses or more is held less sure."""
-    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct(F.year("o_orderdate")).alias("congresses"))
-    return n.withColumn("confidence", F.when(F.col("congresses") >= 3, F.least(F.lit(0.9), F.lit(0.55))).otherwise(0.9))
+    """An answer's own confidence, held lower where it spreads over three Congresses or more."""
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct(F.year("o_orderdate")).alias("congresses"), (F.max(F.col("o_orderkey") % 10).cast("double") / 10).alias("own"))
+    return n.select("o_custkey", "congresses", F.when(F.col("congresses") >= 3, F.least("own", F.lit(0.55))).otherwise(F.col("own")).alias("confidence"))
 
 
 @query("contest_levels", """SELECT o_custkey, string_agg(DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'federal' WHEN 1 THEN 'state' WHEN 2 THEN 'local' ELSE 'other' END, ',' ORDER BY CASE o_orderkey % 4 WHEN 0 THEN 'federal' WHEN 1 THEN 'state' WHEN 2 THEN 'local' ELSE 'other' END) AS levels FROM orders GROUP BY 1""")

@@ -36,6 +36,23 @@ def member_keys(spark, d):
     return _texts(spark, d, NAMES).select("c_custkey", p.member_key(F.col("t")).alias("member_key"))
 
 
+_VOTERS = phrase("l_suppkey", ["Supplier É{n}", "SUPPLIER é{n} Jr.", "supplier É{n}", "Ŝupplier ĉ{n}", "​Supplier É{n} III", "Supplier ế{n}"], n="l_suppkey")
+_ROSTER = phrase("s_suppkey", ["Supplier E{n}", "Supplier É{n}, Sr", "Supplier É{n}", "S. C{n}", "SUPPLIER E{n}", "Supplier Ê{n} II"], n="s_suppkey")
+_KEY = r"coalesce(list_filter(regexp_split_to_array(replace(upper(strip_accents(replace({t}, '​', ''))), '.', ''), '\s+'), lambda x: x <> '' AND x NOT IN ('JR', 'SR', 'II', 'III', 'IV'))[-1], '')"
+
+
+@query("unknown_voters_by_key", f"""WITH v AS (SELECT l_orderkey AS vote, {_VOTERS} AS name FROM lineitem), r AS (SELECT DISTINCT {_KEY.format(t=_ROSTER)} AS member_key FROM supplier WHERE s_nationkey < 20),
+    k AS (SELECT vote, name, {_KEY.format(t='name')} AS member_key FROM v) SELECT member_key, count(*) AS votes, min(vote) AS first_vote FROM k WHERE member_key NOT IN (SELECT member_key FROM r) GROUP BY 1""")
+def unknown_voters_by_key(spark, d):
+    """Voters whom no member of the roster is the same person as, however either writes the name."""
+    voters = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("vote"), F.expr(_VOTERS).alias("name"))
+    # Names are few beside votes: each different one gets its key once.
+    keys = voters.select("name").distinct().select("name", p.member_key(F.col("name")).alias("member_key"))
+    roster = table(spark, d, "supplier").where("s_nationkey < 20").select(p.member_key(F.expr(_ROSTER)).alias("member_key")).distinct()
+    unknown = keys.join(roster, "member_key", "left_anti")
+    return voters.join(unknown, "name").groupBy("member_key").agg(F.count("*").alias("votes"), F.min("vote").alias("first_vote"))
+
+
 @query("clean_names", _sql(NAMES, r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(n, ',') THEN trim(n[strpos(n, ',') + 1:]) || ' ' || trim(n[:strpos(n, ',') - 1]) ELSE n END, '\b[A-Za-z]\.', ' ', 'g'), '\b(jr|sr|ii|iii|iv)\b\.?', '', 'gi'), '\s+', ' ', 'g')) AS name,
     lower(CASE WHEN contains(trim(t), ',') THEN trim(split_part(trim(t), ',', 1)) ELSE coalesce(list_filter(regexp_split_to_array(regexp_replace(trim(t), '\b(jr|sr|ii|iii|iv)\b\.?', '', 'gi'), '\s+'), lambda x: x <> '')[-1], '') END) AS last
     FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(t), '\[[^\]]*\]', '', 'g'), '^(rep|sen|del|res|hon|senator|representative|commissioner|dr|mr|mrs|ms)\.?\s+', '', 'i'), ' ,') AS n FROM q) z"""))

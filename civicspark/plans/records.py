@@ -117,6 +117,24 @@ def doc_duplicates_md5(spark, d):
     return records.duplicates(table(spark, d, "documents"), F.coalesce("text", F.lit("")), "doc_id")
 
 
+@query("duplicate_documents", """SELECT md5(text) AS digest, count(DISTINCT doc_id) AS meetings, count(DISTINCT 'https://' || source || '/' || lang) AS urls, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT 'https://' || source || '/' || lang) > 1""")
+def duplicate_documents(spark, d):
+    """Bytes that several meetings are backed by from several addresses; one address may serve many meetings."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.md5("text").alias("digest"), "doc_id", F.concat(F.lit("https://"), "source", F.lit("/"), "lang").alias("url"))
+    n = docs.groupBy("digest").agg(F.countDistinct("doc_id").alias("meetings"), F.countDistinct("url").alias("urls"), F.min("doc_id").alias("first_id"))
+    return n.where("meetings > 1 AND urls > 1")
+
+
+@query("duplicate_quotes", r"""WITH q AS (SELECT conv_id % 3 AS meeting, conv_id * 100 + turn AS vote, trim(regexp_replace(coalesce(text, ''), '[ \t\n\f\r]+', ' ', 'g')) AS quote FROM conversations)
+    SELECT meeting, min(vote) OVER w AS first_vote, vote FROM q WHERE quote <> '' WINDOW w AS (PARTITION BY meeting, quote) QUALIFY row_number() OVER (PARTITION BY meeting, quote ORDER BY vote) > 1""")
+def duplicate_quotes(spark, d):
+    """Votes of a meeting that cite the same words, white space aside, as an earlier one."""
+    quote = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\f\r]+", " "))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") % 3).alias("meeting"), (F.col("conv_id") * 100 + F.col("turn")).alias("vote"), quote.alias("quote")).where("quote <> ''")
+    first = rows.groupBy("meeting", "quote").agg(F.min("vote").alias("first_vote"))
+    return rows.join(first, ["meeting", "quote"]).where("vote > first_vote").select("meeting", "first_vote", "vote")
+
+
 @query("dedup_first", "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def dedup_first(spark, d):
     return records.first_by(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")

@@ -192,11 +192,11 @@ def token_batches(spark, d):
     return seats.token_batches(sized, "conv_id", "turn", "n", 400).select("conv_id", "turn", "batch")
 
 
-@query("seats_by_counts", sql(""", v AS (SELECT vote_id, aye, "no", abstain FROM votes WHERE vote_id % 5 = 0), s AS (SELECT *, unnest(range(1, 11)) AS seat FROM v)
+@query("seats_by_counts", sql(""", v AS (SELECT vote_id, aye, "no", abstain FROM votes), s AS (SELECT *, unnest(range(1, 11)) AS seat FROM v)
     SELECT vote_id, CAST(seat AS INTEGER) AS seat, CASE WHEN seat <= aye THEN 'aye' WHEN seat <= aye + abstain THEN 'abstain' WHEN seat <= aye + abstain + "no" THEN 'no' ELSE 'absent' END AS option FROM s""", "votes"))
 def seats_by_counts(spark, d):
     """Ten seats of each vote filled from its counts, in the order in which a plan shows them."""
-    return seats.filled_by_counts(a.votes(spark, d).where("vote_id % 5 = 0"), 10, ["aye", "abstain", "no"])
+    return seats.filled_by_counts(a.votes(spark, d), 10, ["aye", "abstain", "no"])
 
 
 @query("seated_members", """WITH m AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3, s_suppkey) AS seat FROM supplier), p(seat, x, y) AS (VALUES (1, -0.87, 0.5), (2, -0.28, 0.28), (3, 0.0, 1.0), (4, 0.28, 0.28), (5, 0.87, 0.5))
@@ -280,13 +280,19 @@ def race_roster(spark, d):
     return n.select("*", _rank("i", "candidate", order=[F.desc("cents"), "pac"])).where("i <= 5").drop("i")
 
 
-@query("employer_stop_list", """SELECT c_custkey, upper(CASE c_custkey % 4 WHEN 0 THEN 'Retired' WHEN 1 THEN 'self employed' ELSE c_name END) AS employer FROM customer WHERE c_custkey % 4 NOT IN (0, 1) AND c_acctbal > 0""")
+# What stands for no employer.
+NO_EMPLOYER = [
+    "NOT EMPLOYED", "RETIRED", "SELF", "SELF EMPLOYED", "SELF-EMPLOYED", "NONE", "N/A", "NA", "NULL", "HOMEMAKER", "UNEMPLOYED", "NOT APPLICABLE",
+    "INFORMATION REQUESTED", "REQUESTED", "NOT PROVIDED", "", "NONE LISTED",
+]
+_EMPLOYERS = phrase("c_custkey", ["{n}", " Retired ", "self employed", "Not Provided", "", "none listed", "Self", "{n} Self", "n/a", "Information Requested", "Na", "unemployed"], n="c_name")
+
+
+@query("employer_stop_list", f"""WITH q AS (SELECT c_custkey, upper(trim({_EMPLOYERS})) AS employer, c_acctbal FROM customer) SELECT c_custkey, employer FROM q WHERE employer NOT IN ({", ".join(f"'{x}'" for x in NO_EMPLOYER)}) AND c_acctbal > 0""")
 def employer_stop_list(spark, d):
     """Employers that are some, with a total above zero."""
-    stop = ["RETIRED", "SELF EMPLOYED", "SELF-EMPLOYED", "SELF", "NONE", "N/A", "NOT EMPLOYED", "UNEMPLOYED", "HOMEMAKER"]
-    name = F.upper(F.when(F.col("c_custkey") % 4 == 0, "Retired").when(F.col("c_custkey") % 4 == 1, "self employed").otherwise(F.col("c_name")))
-    rows = table(spark, d, "customer").select("c_custkey", name.alias("employer"), "c_acctbal")
-    return rows.where(~F.col("employer").isin(stop) & (F.col("c_acctbal") > 0)).select("c_custkey", "employer")
+    rows = table(spark, d, "customer").select("c_custkey", F.upper(F.trim(F.expr(_EMPLOYERS))).alias("employer"), "c_acctbal")
+    return rows.where(~F.col("employer").isin(NO_EMPLOYER) & (F.col("c_acctbal") > 0)).select("c_custkey", "employer")
 
 
 @query("recent_feed", """WITH f AS (SELECT o_custkey AS rep, o_orderkey AS bill, o_orderdate FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-08-02' - 900) SELECT rep, bill, CAST(row_number() OVER (PARTITION BY rep ORDER BY o_orderdate DESC, bill) AS INTEGER) AS i FROM f QUALIFY i <= 3""")
