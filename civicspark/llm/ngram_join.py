@@ -13,7 +13,8 @@ that leaves them out, since one of its other parts still has to agree.
 Equal texts go to one task and are signed once. Sets that share a signature are first compared with
 the smallest node among them; what that leaves in different components is compared across
 components, so that no link between components is lost and a group of n copies costs n comparisons.
-A signature that many sets of one task share is dealt with in that task.
+A signature that many sets of one task share is dealt with in that task, and of signatures that the same
+sets share one is looked at.
 """
 
 from __future__ import annotations
@@ -396,8 +397,10 @@ def _grouped(docs: DataFrame, node: str, partitions: int, how: Similarity, doc_i
     for last in (False, True):
         # What is left: signatures whose members lie in several components.
         named = stored(live.join(found, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("root", "id").alias("comp")).distinct(), "named")
-        by_comp = named.groupBy("h", "comp").agg(F.count("*").alias("c"))
-        split = stored(by_comp.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "split")
+        # Signatures of the same members say the same: of these one stays. Members are known by two hashes of their set.
+        by_comp = named.groupBy("h", "comp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"))
+        of_sig = by_comp.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("comps"), F.sum("c").alias("n"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t")).where("comps > 1")
+        split = stored(of_sig.groupBy("s", "t", "n").agg(F.min("h").alias("h"), F.min("big").alias("big")).select("h", "big"), "split")
         open_rows = stored(named.join(split, "h").select("h", "id", "comp", "big"), "open")
         forget(named, split)
         if not open_rows.take(1):
