@@ -1,13 +1,14 @@
 """Main text of HTML pages by composite text density.
 
 Every element gets a density: its characters per tag, raised where few of them are link text and
-lowered where many are. An element's sum adds the densities of its children (its own text counts as
-one). Of the elements at least as dense as the sparsest on the path from the body to the one with
-the largest sum, the one with the largest sum is the article's body; it grows to its parent as long
-as what that adds is no more than it has and mostly no link text, as a headline above it is. No tag
-makes an element the article. Elements that say by tag, role or a whole class or id that they are
-no article (menus, page headers and footers, sidebars, notices, adverts, forms, comments) count
-nowhere, unless they hold an article, a main or most of the text outside links: then density decides.
+lowered where many are. An element's sum adds the densities of its children, its own text counting as
+one; a lone block, which holds no other block, has its own density for a sum, so that it never
+outweighs the element around it. Of the elements at least as dense as the sparsest on the path from
+the body to the one with the largest sum, the one with the largest sum is the article, with a heading
+that stands directly before it. No tag makes an element the article. Elements that say by tag, role or
+a whole class or id that they are no article (menus, page headers and footers, sidebars, notices,
+adverts, forms, comments) count nowhere, unless they hold an article, a main or most of the text
+outside links: then density decides.
 """
 
 from __future__ import annotations
@@ -200,24 +201,32 @@ def main_element(root: _Node) -> _Node:
     for x in nodes:
         x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, body_links)
     for x in nodes:
-        x.sum = _density(x.own, 1, x.own if x.link else 0, 0, body_links) + sum(c.density for c in x.children if not isinstance(c, str) and not c.skip)
-    best = max(nodes, key=lambda x: x.sum)
+        inside = [c for c in x.children if not isinstance(c, str) and not c.skip]
+        if all(c.name in INLINE or c.name in VOID for c in inside):
+            x.sum = x.density
+        else:
+            x.sum = _density(x.own, 1, x.own if x.link else 0, 0, body_links) + sum(c.density for c in inside)
+    blocks = [x for x in nodes if x is body or x.name not in INLINE]
+    best = max(blocks, key=lambda x: x.sum)
     least, x = best.density, best
     while x is not body:
         x = x.parent
         least = min(least, x.density)
-    best = max((x for x in nodes if x.density >= least), key=lambda x: x.sum)
-    while best is not body:
-        more, links = best.parent.chars - best.chars, best.parent.link_chars - best.link_chars
-        if more > best.chars or 2 * links > more:
-            break
-        best = best.parent
-    return best
+    return max((x for x in blocks if x.density >= least), key=lambda x: x.sum)
+
+
+def _heading_before(x: _Node) -> list[_Node]:
+    """The heading that nothing but white space stands between and x."""
+    around = x.parent.children if x.parent is not None else []
+    at = next((i for i, c in enumerate(around) if c is x), 0)
+    before = [c for c in around[:at] if not isinstance(c, str) or c.strip()]
+    return before[-1:] if before and getattr(before[-1], "name", "") in HEADINGS and not before[-1].skip else []
 
 
 def main_text(page: str) -> str:
     """The text of the main element: references decoded, white space collapsed, blocks joined by one space."""
-    out, stack = [], [main_element(parse(page))]
+    best = main_element(parse(page))
+    out, stack = [], [best, *_heading_before(best)]
     while stack:
         x = stack.pop()
         if isinstance(x, str):

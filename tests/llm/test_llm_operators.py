@@ -166,6 +166,11 @@ def test_shards_are_level_and_keep_copies_together(spark, docs):
         slots[r.shard].append(r.slot)
         places[raw].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(p) == 1 for p in places.values())
+    # No shard is fuller than the mean by more than the largest group that has to stay together.
+    group = Counter()
+    for raw in map(str.encode, docs.values()):
+        group[raw] += len(raw) + 8
+    assert set(load) == set(range(24)) and max(load.values()) - min(load.values()) <= max(group.values())
 
 
 def test_lm_base_scores(spark, docs):
