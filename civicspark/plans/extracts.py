@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..extract import blocks, disclosures, tables, walk
+from ..adapters import phrase
+from ..extract import blocks, disclosures, jobs, minutes, tables, walk
 from ..functions import projects
 from ..io import table
 from ..operators import trades
@@ -257,3 +258,101 @@ def nested_matters(spark, d):
     """The matters of every page, each once, with the number, title and action of the nearest record around them that has one."""
     pages = _written(spark, d, _matter_json(False), "orders")
     return walk.nested_records(pages, "o_custkey", "json", "matterid", {"number": ["filenumber"], "title": ["title"], "action": ["action"]})
+
+
+_FURNITURE = [r"^City Council\s+Meeting Minutes", r"^City Clerk\s+Page \d+"]
+
+
+def _minutes(duck: bool) -> str:
+    """Minutes for each customer: a roll call, then an item for each order with its positions, whose names wrap, even within a title."""
+    name = "'N' || translate(CAST(l_suppkey AS STRING), '0123456789', 'abcdefghij')"
+    part = f"""CASE WHEN i = 1 THEN ' - Council Member ' WHEN i % 5 = 0 THEN ' and Council' || chr(10) || '      Member ' WHEN i % 3 = 0 THEN ',' || chr(10) || '     Council President ' ELSE ', Council Member ' END || {name}"""
+    label = "CASE l_returnflag WHEN 'A' THEN 'Aye' WHEN 'N' THEN 'No' ELSE CASE l_linestatus WHEN 'F' THEN 'Abstain' ELSE 'Absent' END END"
+    iso = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+    month = "CASE substr(" + iso + ", 6, 2) " + " ".join(f"WHEN '{i:02d}' THEN '{m}'" for i, m in enumerate(minutes.MONTHS, 1)) + " END"
+    outcome = "CASE o_orderkey % 5 WHEN 0 THEN 'The motion failed.' WHEN 1 THEN 'No action' ELSE 'A motion was made. The motion carried by voice.' END"
+    return f"""WITH p AS (SELECT l_orderkey, {label} AS label, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, {label} ORDER BY l_linenumber, l_suppkey, l_partkey) AS i FROM {{lineitem}}),
+        n AS (SELECT l_orderkey, label, i, {part} AS part FROM p),
+        v AS (SELECT l_orderkey, label, '   ' || label || CASE WHEN l_orderkey % 2 = 0 THEN ':' ELSE '' END || '  ' || CAST(count(*) AS STRING) || {_list("part", "i", duck)} || chr(10) AS line FROM n GROUP BY l_orderkey, label),
+        b AS (SELECT l_orderkey, {_list("line", "label", duck)} AS votes FROM v GROUP BY l_orderkey),
+        o AS (SELECT o_custkey, o_orderkey, {month} || ' ' || CAST(CAST(substr({iso}, 9, 2) AS INTEGER) AS STRING) || ', ' || substr({iso}, 1, 4) AS day,
+              '   ' || CAST(1000 + o_orderkey % 9000 AS STRING) || '-' || CAST(1000 + o_custkey AS STRING) || '  Resolution on ' || o_orderpriority || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN 'City Clerk    Page 3' || chr(10) ELSE '' END || coalesce(votes, '')
+              || CASE WHEN o_orderkey % 6 = 0 THEN 'Moore' || chr(10) ELSE '' END || {outcome} || chr(10) || CASE WHEN o_orderkey % 4 = 0 THEN 'Enactment No: E' || CAST(o_orderkey AS STRING) || chr(10) || 'Warwick' || chr(10) ELSE '' END || CASE WHEN o_orderkey % 9 = 0 THEN '  ROLL CALL ' || chr(10) || 'Present 1 - Council Member Late' || chr(10) || 'Aye 2' || chr(10) || ' Extra' || chr(10) ELSE '' END AS item
+              FROM {{orders}} LEFT JOIN b ON l_orderkey = o_orderkey)
+        SELECT o_custkey, 'City Council      Meeting Minutes' || chr(10) || min(day) || chr(10) || 'ROLL CALL' || chr(10) || 'Present 2 - Council Member Coghill and Council' || chr(10) || '   Member Wilson' || chr(10) || 'Absent: 0' || chr(10) || {_list("item", "o_orderkey", duck)} AS text FROM o GROUP BY o_custkey"""
+
+
+#: One walk down each document: whether a roll call is open, the item, and the line whose names go on (0: none).
+_MINUTES_SQL = rf"""
+    WITH RECURSIVE docs AS ({_minutes(True).format(lineitem="lineitem", orders="orders")}),
+    raw AS (SELECT o_custkey, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+    lines AS (SELECT o_custkey, line, row_number() OVER (PARTITION BY o_custkey ORDER BY pos) AS i FROM raw WHERE NOT regexp_matches(line, '^City Council\s+Meeting Minutes') AND NOT regexp_matches(line, '^City Clerk\s+Page \d+')),
+    read AS (SELECT *, regexp_matches(line, '^\s*ROLL CALL\s*$') AS is_roll, regexp_extract(line, '^\s+(\d{{4}}-\d{{4}})\s+\S', 1) AS num, regexp_extract(line, '^\s*(Aye|No|Abstain|Absent|Present|Recused):?\s+(\d+)(?:\s*-\s*(.*))?$', ['label', 'n', 'names']) AS m,
+             list_filter(regexp_split_to_array(regexp_replace(regexp_replace(line, 'Council\s+(Member|President)', '', 'g'), '\band\b|,', ' ', 'g'), '\s+'), lambda t: t <> '') AS toks FROM lines),
+    w AS (SELECT o_custkey, CAST(0 AS BIGINT) AS i, false AS roll, 0 AS entry, CAST(NULL AS VARCHAR) AS item, CAST(0 AS BIGINT) AS open, '' AS kind, '' AS label, '' AS n, '' AS said FROM docs
+      UNION ALL
+      SELECT o_custkey, i, CASE WHEN kind = 'roll' THEN true WHEN kind = 'item' THEN false ELSE roll END, CASE WHEN kind = 'item' THEN entry + 1 ELSE entry END, CASE WHEN kind = 'item' THEN num ELSE item END,
+             CASE kind WHEN 'set' THEN i WHEN 'item' THEN 0 WHEN 'text' THEN 0 ELSE open END, kind, lower(m.label), m.n, CASE WHEN kind = 'set' THEN m.names ELSE line END
+      FROM (SELECT *, CASE WHEN is_roll THEN 'roll' WHEN num <> '' THEN 'item' WHEN m.label <> '' THEN CASE WHEN roll AND m.label IN ('Present', 'Absent') OR NOT roll AND entry > 0 THEN 'set' ELSE 'skip' END
+                    WHEN open > 0 AND len(toks) > 0 AND len(list_filter(toks, lambda t: regexp_full_match(t, '[A-Z][A-Za-z.''\-]*'))) = len(toks) THEN 'more' ELSE 'text' END AS kind
+            FROM (SELECT w.o_custkey, r.i, r.line, r.is_roll, r.num, r.m, r.toks, w.roll, w.entry, w.item, w.open FROM w JOIN read r ON r.o_custkey = w.o_custkey AND r.i = w.i + 1) a) b)
+"""
+
+
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    return minutes.read_lines(_written(spark, d, _minutes(False), "lineitem", "orders"), "o_custkey", "text", _FURNITURE)
+
+
+@query("minutes_positions", _MINUTES_SQL + r"""
+    , s AS (SELECT o_custkey, i, CASE WHEN roll THEN 0 ELSE entry END AS entry, CASE WHEN NOT roll THEN item END AS item, label AS position, CAST(n AS INTEGER) AS n FROM w WHERE kind = 'set'),
+    t AS (SELECT o_custkey, open, string_agg(said, ' , ' ORDER BY i) FILTER (kind = 'set') AS first, list(said ORDER BY i) AS said FROM w WHERE kind IN ('set', 'more') GROUP BY 1, 2),
+    u AS (SELECT o_custkey, open, flatten(list_transform(said, lambda x: list_filter(list_transform(regexp_split_to_array(x, ',|\band\b'), lambda p: array_to_string(list_filter(regexp_split_to_array(p, '\s+'), lambda q: q NOT IN ('', 'Council', 'Member', 'President')), ' ')), lambda p: p <> ''))) AS members FROM t)
+    SELECT o_custkey, entry, item, position, n AS "count", array_to_string(members, '|') AS members FROM s JOIN u ON u.o_custkey = s.o_custkey AND u.open = s.i QUALIFY row_number() OVER (PARTITION BY s.o_custkey, entry, position ORDER BY i DESC) = 1""".replace("SELECT o_custkey, entry, item, position, n", "SELECT s.o_custkey, entry, item, position, n"))
+def minutes_positions(spark, d):
+    """Attendance and every item's positions with their counts and names."""
+    return minutes.positions(_read(spark, d), "o_custkey").select("o_custkey", "entry", "item", "position", "count", F.array_join("members", "|").alias("members"))
+
+
+@query("minutes_outcomes", _MINUTES_SQL + r"""
+    , m AS (SELECT *, CASE WHEN kind = 'text' AND contains(said, 'The motion carried') THEN 'pass' WHEN kind = 'text' AND contains(said, 'The motion failed') THEN 'fail' END AS r, CASE WHEN kind = 'text' THEN nullif(regexp_extract(said, 'Enactment No:\s*(\S+)', 1), '') END AS e FROM w WHERE entry > 0),
+    f AS (SELECT o_custkey, regexp_extract(line, '(January|February|March|April|May|June|July|August|September|October|November|December)\s+(\d{1,2}),\s+(\d{4})', ['m', 'd', 'y']) AS d, i FROM lines WHERE i <= 40),
+    y AS (SELECT o_custkey, arg_min(d.y || '-' || lpad(CAST(list_position(['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'], d.m) AS VARCHAR), 2, '0') || '-' || lpad(d.d, 2, '0'), i) AS date FROM f WHERE d.m <> '' GROUP BY 1),
+    g AS (SELECT o_custkey, entry, any_value(item) AS item, arg_max(r, i) FILTER (r IS NOT NULL) AS result, arg_max(e, i) FILTER (e IS NOT NULL) AS enactment FROM m GROUP BY 1, 2)
+    SELECT g.o_custkey, entry, item, result, enactment, date FROM g LEFT JOIN y ON y.o_custkey = g.o_custkey""")
+def minutes_outcomes(spark, d):
+    """Every item's result and enactment, with the date of its meeting."""
+    lines = _read(spark, d)
+    return minutes.outcomes(lines, "o_custkey").join(minutes.dates(lines, "o_custkey"), "o_custkey")
+
+
+#: A line for each order, in the form of its customer's source, with what a second source asserts of it.
+_FORMS = phrase("o_orderkey", [
+    "Item {n}: Yea: (3) Lee, Kim, Diaz Nay: (1) Cruz Absent: (0)", "Item {n}: Yea: (0) Nay: (0)", "Item {n}: AYE 2 - Lee, Kim, Notes follow; NAY 1 - Diaz; ABSENT 1 - Cruz", "Item {n}: AYE 1 - Lee; NAY 2 - Kim, LEE",
+    "Item {n}: The motion carried, Kim and Cruz voting NAY, Diaz was absent.", "Item {n}: Motion withdrawn", "Item {n}: Yea: (1) Lee Nay: (2) Kim, Cruz", "no item: Yea: (2) Lee, Kim", "Item {n}: carried unanimously; Lee abstaining", "Item {n}: Nay: (1) Lee Yea: (2) Cruz, lee",
+], n="o_orderkey")
+_ASSERTED = "CASE WHEN o_orderkey % 3 = 0 THEN 'fail' ELSE 'pass' END"
+
+
+@query("extractor_jobs", rf"""
+    WITH t AS (SELECT CAST(o_custkey AS VARCHAR) AS doc, nullif(regexp_extract(t, '^Item (\S+?):', 1), '') AS item, t, o_orderkey AS k FROM (SELECT o_custkey, o_orderkey, {_FORMS} AS t FROM orders) z),
+    a AS (SELECT doc, item, 'tally_lines' AS job, unnest(regexp_split_to_array(regexp_replace(t, '(Yea|Nay|Abstain|Absent): \(', '#\1: (', 'g'), '#')[2:]) AS part FROM t WHERE item IS NOT NULL),
+    b AS (SELECT doc, item, 'counted_lines' AS job, unnest(regexp_extract_all(t, '(?:AYE|NAY|ABSTAIN|ABSENT) \d+ - [^;]*')) AS part FROM t WHERE item IS NOT NULL),
+    ab AS (SELECT doc, item, job, lower(regexp_extract(part, '^\w+')) AS word, CAST(regexp_extract(part, '\d+') AS INTEGER) AS n, list_filter(list_transform(string_split(regexp_replace(part, '^\w+:? \(?\d+\)?(?: -)?', ''), ','), lambda x: trim(x)), lambda x: x <> '') AS names FROM (SELECT * FROM a UNION ALL SELECT * FROM b) z),
+    v AS (SELECT doc, item, job, unnest(CASE WHEN job = 'counted_lines' THEN names[1:n] WHEN n > 0 THEN names ELSE [] END) AS member, CASE word WHEN 'yea' THEN 'aye' WHEN 'nay' THEN 'no' ELSE word END AS position FROM ab),
+    c AS (SELECT doc, item, 'narrative' AS job, m AS member, CASE WHEN regexp_matches(t, '\b' || m || '( and \w+)? voting nay', 'i') THEN 'no' WHEN regexp_matches(t, '\b' || m || '( and \w+)?,? (who )?(was|were) (absent|away)', 'i') THEN 'absent' WHEN regexp_matches(t, '\b' || m || '( and \w+)? abstain', 'i') THEN 'abstain' ELSE 'aye' END AS position
+          FROM (SELECT *, unnest(['Lee', 'Kim', 'Diaz', 'Cruz']) AS m FROM t WHERE item IS NOT NULL AND regexp_matches(t, '\b(motion )?(carried|passed|adopted|approved)\b', 'i')) y),
+    e AS (SELECT * FROM v UNION ALL SELECT * FROM c),
+    d AS (SELECT DISTINCT job, doc, item FROM (SELECT job, doc, item, upper(member) AS who FROM e GROUP BY ALL HAVING count(DISTINCT position) > 1) x),
+    s AS (SELECT job, doc, item, count(*) FILTER (position = 'aye') AS aye, count(*) FILTER (position = 'no') AS no FROM e GROUP BY ALL),
+    r AS (SELECT CAST(o_custkey AS VARCHAR) AS doc, CAST(o_orderkey AS VARCHAR) AS item, {_ASSERTED} AS said FROM orders WHERE o_orderkey % 4 <> 1)
+    SELECT s.job, s.doc, s.item, aye, no, CASE WHEN aye > no THEN 'pass' ELSE 'fail' END AS result,
+           CASE WHEN d.doc IS NOT NULL OR said IS NULL THEN 'quarantined' WHEN said = CASE WHEN aye > no THEN 'pass' ELSE 'fail' END THEN 'certified' ELSE 'disputed' END AS status
+    FROM s LEFT JOIN d ON d.job = s.job AND d.doc = s.doc AND d.item = s.item LEFT JOIN r ON r.doc = s.doc AND r.item = s.item
+""")
+def extractor_jobs(spark, d):
+    """Three extractors over the same documents, each to its certified items."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("doc"), "o_orderkey", F.expr(_FORMS).alias("line"))
+    docs = orders.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    asserted = table(spark, d, "orders").where("o_orderkey % 4 <> 1").select(F.col("o_custkey").cast("string").alias("doc"), F.col("o_orderkey").cast("string").alias("item"), F.expr(_ASSERTED).alias("result"))
+    found = [jobs.run(name, docs, asserted).withColumn("job", F.lit(name)) for name in ("tally_lines", "counted_lines", "narrative")]
+    return found[0].unionByName(found[1]).unionByName(found[2])

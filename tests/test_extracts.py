@@ -153,3 +153,44 @@ def test_deep_documents_are_walked(spark):
     text = "[" * 400 + '{"MatterID": 7}' + "]" * 400
     df = spark.createDataFrame([(1, f'{{"Number": "n", "a": {text}, "b": {{"matterId": 7, "number": "late"}}}}'), (2, None)], "id long, j string")
     assert [tuple(r) for r in walk.nested_records(df, "id", "j", "matterid", {"number": ["file", "number"]}).collect()] == [(1, 1, "7", "n")]
+
+
+MINUTES = """City Council    Meeting Minutes
+Regular session, March 4, 2024 and April 5, 2024
+  ROLL CALL
+Present: 3 - Council Member Coghill, Council President Strassburger and Council
+  Member Wilson
+Aye 9 - Nobody
+Warwick
+Absent 0
+   2024-0012  A resolution
+City Clerk      Page 2
+Lavelle
+   Aye: 2 - Council Member Coghill,
+    Strassburger
+A motion was made by Wilson. The motion failed.
+Charland
+  No 1 - Wilson
+The motion carried. Enactment No: 77
+   2024-0013 Another one
+  Aye: 1 - Coghill
+  Aye: 2 - Coghill and
+ Mosley
+Recused: 1
+   2024-0012  The first again
+Enactment No: 78 x
+Enactment No: 79
+"""
+
+
+def test_minutes_are_read_line_by_line(spark):
+    from civicspark.extract import minutes
+
+    df = spark.createDataFrame([(1, MINUTES), (2, None), (3, ""), (4, "   2024-0001 lone\n  Present 1 - A. Person")], "id long, t string")
+    lines = minutes.read_lines(df, "id", "t", [r"^City Council\s+Meeting Minutes", r"^City Clerk\s+Page \d+"])
+    got = sorted((r.id, r.entry, r.item, r.position, r["count"], r.members) for r in minutes.positions(lines, "id").collect() if r.entry)
+    assert got == [(1, 1, "2024-0012", "aye", 2, ["Coghill", "Strassburger"]), (1, 1, "2024-0012", "no", 1, ["Wilson"]), (1, 2, "2024-0013", "aye", 2, ["Coghill", "Mosley"]), (1, 2, "2024-0013", "recused", 1, []), (4, 1, "2024-0001", "present", 1, ["A. Person"])]
+    roll = {(r.id, r.position): r.members for r in minutes.positions(lines, "id").collect() if not r.entry}
+    assert roll == {(1, "present"): ["Coghill", "Strassburger", "Wilson", "Warwick"], (1, "absent"): []}
+    assert sorted((r.id, r.entry, r.result, r.enactment) for r in minutes.outcomes(lines, "id").collect() if r.id == 1) == [(1, 1, "pass", "77"), (1, 2, None, None), (1, 3, None, "79")]
+    assert {r.id: r.date for r in minutes.dates(lines, "id").collect()} == {1: "2024-03-04", 3: None, 4: None}
