@@ -143,3 +143,16 @@ def sent_only(events: DataFrame, keys: list[str], at: str, seconds: int) -> Data
             yield pd.DataFrame({"event_id": b["event_id"], "blocked": out})
 
     return ordered.mapInPandas(decide, f"event_id {dict(events.dtypes)['event_id']}, blocked boolean")
+
+
+# The arrays that a run's records have.
+ROOTS = ["meetings", "agenda_items", "vote_events", "members"]
+
+
+def malformed_roots(runs: DataFrame, ref: str, text: str) -> DataFrame:
+    """A finding for each run whose records aren't an object, else for each array that is missing or no array. Text that isn't JSON is no object."""
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+    rows = runs.select(F.col(ref).cast("string").alias("__ref"), kind("$").startswith("OBJECT").alias("__root"), F.array_compact(F.array(*[F.when(~F.coalesce(kind(f"$.{k}").startswith("ARRAY"), F.lit(False)), F.lit(k)) for k in ROOTS])).alias("__keys"))
+    broken = rows.select("__ref", F.explode_outer(F.when(F.coalesce("__root", F.lit(False)), F.col("__keys")).otherwise(F.array(F.lit("records")))).alias("__key")).where("__key is not null")
+    message = F.when(F.col("__key") == "records", "not an object").otherwise("missing or not an array")
+    return broken.select(*finding("structural", "malformed_root", F.concat_ws(":", "__ref", "__key"), message))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import adapters as a
@@ -244,3 +244,32 @@ def cooldown_30d(spark, d):
 @query("cooldown_3d", _COOLDOWN.format(days=3))
 def cooldown_3d(spark, d):
     return c.sent_only(table(spark, d, "events"), ["user_id", "event_type"], "ts", 3 * 86400)
+
+
+_RUNS = phrase("event_id", [
+    '<"meetings":[1],"agenda_items":[],"vote_events":[<"id":{n}>],"members":["a"]>', '[1, 2]', '<"meetings":<>,"agenda_items":[],"vote_events":null,"members":[]>', 'null', '<"members":"x">', 'oops', '<"meetings":[],"agenda_items":[],"vote_events":[],"members":[],"more":1>', '"text"',
+], n="user_id")
+
+
+@query("malformed_roots", f"""WITH q AS (SELECT event_id, translate({_RUNS}, '<>', chr(123) || chr(125)) AS j FROM events), v AS (SELECT event_id, CASE WHEN json_valid(j) THEN CAST(j AS JSON) END AS j FROM q),
+    k AS (SELECT event_id, unnest(CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN ['records'] ELSE list_filter(['meetings', 'agenda_items', 'vote_events', 'members'], lambda x: coalesce(json_type(j -> x), '') <> 'ARRAY') END) AS key FROM v)
+    SELECT 'structural' AS layer, 'malformed_root' AS "check", event_id || ':' || key AS ref, CASE key WHEN 'records' THEN 'not an object' ELSE 'missing or not an array' END AS message FROM k""")
+def malformed_roots(spark, d):
+    """Runs whose records don't have the shape that the other checks read."""
+    runs = table(spark, d, "events").select("event_id", F.translate(F.expr(_RUNS), "<>", "{}").alias("j"))
+    return c.malformed_roots(runs, "event_id", "j")
+
+
+@query("letters_by_time", """SELECT user_id, event_id, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS nth FROM events WHERE event_type IN ('signup', 'purchase')""")
+def letters_by_time(spark, d):
+    """A user's letters, newest first, as a keyed lookup lists them: numbered within the user, so that the order is part of the rows."""
+    rows = table(spark, d, "events").where(F.col("event_type").isin("signup", "purchase")).select("user_id", "event_id", "ts")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))))
+
+
+@query("known_dates_by_key", """SELECT n_name AS place, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name = upper('nation_7') GROUP BY 1, 2""")
+def known_dates_by_key(spark, d):
+    """The dates of one place, by a key given in any case; sorted by date."""
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = joined.where(F.col("n_name") == F.upper(F.lit("nation_7"))).groupBy(F.col("n_name").alias("place"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return rows.orderBy("day")

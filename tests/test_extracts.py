@@ -194,3 +194,22 @@ def test_minutes_are_read_line_by_line(spark):
     assert roll == {(1, "present"): ["Coghill", "Strassburger", "Wilson", "Warwick"], (1, "absent"): []}
     assert sorted((r.id, r.entry, r.result, r.enactment) for r in minutes.outcomes(lines, "id").collect() if r.id == 1) == [(1, 1, "pass", "77"), (1, 2, None, None), (1, 3, None, "79")]
     assert {r.id: r.date for r in minutes.dates(lines, "id").collect()} == {1: "2024-03-04", 3: None, 4: None}
+
+
+def test_jobs_certify_what_a_second_source_says_too(spark):
+    from civicspark.extract import jobs
+
+    text = "\n".join([
+        "Item 1: Yea: (2) Ann Lee, Bo Kim Nay: (1) Cy Diaz", "Item 2: Yea: (0) Nay: (0)", "Item 3: Yea: (1) Lee Nay: (1) LEÉ", "no item: Yea: (1) Lee", "Item 4: AYE 1 - Lee, Notes; NAY 2 - Kim, Diaz",
+        "Item 5: Motion carried, Kim and Cruz voting nay; Diaz abstaining", "Item 6: withdrawn", "Item 7: Yea: (1) Kim",
+    ])
+    docs = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "doc string, text string")
+    said = spark.createDataFrame([("d", "1", "pass"), ("d", "3", "pass"), ("d", "4", "pass"), ("d", "5", "fail"), ("d", "5", "fail")], "doc string, item string, result string")
+    got = {name: sorted((r.item, r.aye, r.no, r.result, r.status) for r in jobs.run(name, docs, said).collect()) for name in ("tally_lines", "counted_lines", "narrative", "unverified")}
+    assert got["tally_lines"] == [("1", 2, 1, "pass", "certified"), ("3", 1, 1, "fail", "quarantined"), ("7", 1, 0, "pass", "quarantined")]
+    assert got["counted_lines"] == [("4", 1, 2, "fail", "disputed")]
+    assert got["narrative"] == [("5", 1, 2, "fail", "certified")] and got["unverified"] == []
+    assert sorted((r["check"], r.item) for r in jobs.findings(jobs.EXTRACTORS["tally_lines"](docs)).collect()) == [("two positions", "3")]
+    page = spark.createDataFrame([("p", "Meeting Date:|03/04/2005|Vote Action:|Adopted|Member Name|CD|Vote|Ann|1|YES"), ("m", "   2024-0001 x\n  Aye: 1 - Council Member Coghill")], "doc string, text string")
+    assert [tuple(r) for r in jobs.EXTRACTORS["council_file"](page).collect()] == [("p", "Adopted", "Ann", "aye", "2005-03-04 Adopted")]
+    assert [tuple(r) for r in jobs.EXTRACTORS["printed_minutes"](page).collect()] == [("m", "2024-0001", "Coghill", "aye", "Aye 1")]
