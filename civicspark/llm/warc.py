@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +24,13 @@ from .common import batch, shared_dir, stored, text_bytes
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = b"1970-01-01T00:00:00Z"
+#: Our own field for a URL that a header can't hold.
+SOURCE_URI = b"X-Source-URI-Base64"
 
 #: Bytes of a file of average pages before compression, and of a record's headers: a file is read whole.
 FILE_BYTES, HEAD_BYTES = 256 << 20, 512
+#: No file is longer, whatever pages meet in it: readers take a file as one value.
+MOST_BYTES = 1900 << 20
 
 
 def sha1_base32(data: bytes) -> str:
@@ -36,13 +41,27 @@ def record_id(page_id: int | None, sha256: str) -> bytes:
     return f"<urn:page:{'null' if page_id is None else page_id}:{sha256}>".encode()
 
 
+def target_uri(url: str | None) -> list[bytes]:
+    """The header lines of a URL. What a header can't hold is percent-encoded; where that changes the URL, the URL itself stands
+    beside it in base64, so that it comes back as it was. A null URL has no line."""
+    if url is None:
+        return []
+    safe = re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+    return [b"WARC-Target-URI: " + safe.encode()] + ([SOURCE_URI + b": " + base64.b64encode(url.encode())] if safe != url else [])
+
+
+def source_url(fields: dict[str, str]) -> str | None:
+    encoded = fields.get(SOURCE_URI.decode().lower())
+    return fields.get("warc-target-uri") if encoded is None else base64.b64decode(encoded).decode()
+
+
 def record_headers(kind: str, page_id: int | None, url: str | None, sha1: str, sha256: str, refers_to: int | None, length: int) -> bytes:
     lines = [
         VERSION,
         b"WARC-Type: " + kind.encode(),
         b"WARC-Record-ID: " + record_id(page_id, sha256),
         b"WARC-Date: " + RECORD_DATE,
-        b"WARC-Target-URI: " + " ".join((url or "").split()).encode(),
+        *target_uri(url),
         b"WARC-Payload-Digest: sha1:" + sha1.encode(),
         b"WARC-Block-Digest: sha256:" + sha256.encode(),
     ]
@@ -117,13 +136,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
     roles = meta.join(owners, F.col("sha256") == F.col("digest"), "left").select(F.col("page_id").alias("id"), F.col("sha256").alias("id_sha256"), F.when(other, F.col("owner")).alias("refers_to"))
     placed = rows.join(roles, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha256") == F.col("id_sha256")))
     packed = placed.select("page_id", "url", "payload", "sha256", "refers_to").mapInArrow(_pack, "member binary")
-    size = meta.agg(F.avg("n")).first()[0] or 0
+    size, largest = (x or 0 for x in meta.agg(F.avg("n"), F.max("n")).first())
     members = packed.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000")
-    members.option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + HEAD_BYTES)))).text(path)
+    members.option("maxRecordsPerFile", max(1, int(min(FILE_BYTES / (size + HEAD_BYTES), MOST_BYTES / (largest + HEAD_BYTES))))).text(path)
 
 
-_RECORDS = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("headers", pa.binary()), ("sha1", pa.string()), ("sha256", pa.string()), ("payload", pa.binary()), ("verified", pa.bool_())])
-RECORDS_DDL = "page_id long, record_type string, refers_to long, headers binary, sha1 string, sha256 string, payload binary, verified boolean"
+_RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("headers", pa.binary()), ("sha1", pa.string()), ("sha256", pa.string()), ("payload", pa.binary()), ("verified", pa.bool_())])
+RECORDS_DDL = "page_id long, url string, record_type string, refers_to long, headers binary, sha1 string, sha256 string, payload binary, verified boolean"
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +156,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha1, sha256 = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-block-digest"].removeprefix("sha256:")
                 sound = None if kind == "revisit" else (hashlib.sha256(block).hexdigest() == sha256 and sha1_base32(block) == sha1)
                 ident = lambda v: None if (i := v.strip("<>").split(":")[2]) == "null" else int(i)
-                rows.append((ident(fields["warc-record-id"]), kind, ident(fields["warc-refers-to"]) if kind == "revisit" else None, head, sha1, sha256, block if kind == "response" else None, sound))
+                rows.append((ident(fields["warc-record-id"]), source_url(fields), kind, ident(fields["warc-refers-to"]) if kind == "revisit" else None, head, sha1, sha256, block if kind == "response" else None, sound))
                 held += len(block)
                 if held > 8 << 20:
                     yield batch(dict(zip(_RECORDS.names, zip(*rows, strict=True), strict=True)), _RECORDS)
@@ -168,11 +187,11 @@ def payload_store(records: DataFrame) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, headers, payload of every original record: the header store joined to the payload store."""
+    """page_id, url, headers, payload of every original record: the header store joined to the payload store. The URL is the row's own, a null one too."""
     records = read_records(spark, path)
-    heads = records.select("page_id", "record_type", "refers_to", "headers", "sha1", "sha256")
+    heads = records.select("page_id", "url", "record_type", "refers_to", "headers", "sha1", "sha256")
     joined = heads.join(payload_store(records), "sha256", "left")
-    return joined.select("page_id", "headers", "record_type", "refers_to", "sha1", _sound("payload", F.expr(_MEETS), _APART).alias("payload"))
+    return joined.select("page_id", "url", "headers", "record_type", "refers_to", "sha1", _sound("payload", F.expr(_MEETS), _APART).alias("payload"))
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

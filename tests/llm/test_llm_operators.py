@@ -216,6 +216,10 @@ def test_warc_writes_every_row_and_checks_revisits(spark, tmp_path):
     warc.write_archive(df, f"{tmp_path}/archive")
     back = warc.reconstruct(spark, f"{tmp_path}/archive").collect()
     assert Counter((r.page_id, bytes(r.payload)) for r in back) == Counter((i, (h or "").encode()) for i, _, h in rows)
+    odd = [None, "", " ", "http://a/%20b", " http://a/ b\r\nWARC-Type: x\u2028é\x00 ", "http://é/\t", "x" * 5000]
+    urls = spark.createDataFrame([(i, u, "page") for i, u in enumerate(odd)], "page_id long, url string, html string")
+    warc.write_archive(urls, f"{tmp_path}/urls")
+    assert {r.page_id: r.url for r in warc.reconstruct(spark, f"{tmp_path}/urls").collect()} == dict(enumerate(odd))
     # A revisit whose digest isn't its response's.
     payload, sha256 = b"x", hashlib.sha256(b"x").hexdigest()
     good = warc.record_headers("response", 2, "c", warc.sha1_base32(payload), sha256, None, 1) + payload + b"\r\n\r\n"
