@@ -1,4 +1,4 @@
-"""Names of people and committees, parties, offices and elections. Column to Column, built-in functions alone."""
+"""Names of people and committees, parties, offices and elections. Column to Column, with built-in functions but for the taking apart of letters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .bills import any_of
 
@@ -22,7 +23,7 @@ NO_NAME = r"[\n\t]|\d|(?i:attachment|exhibit|committee report|resolution|ordinan
 FORMS_OF_ADDRESS = ["mr", "mr.", "mrs", "mrs.", "ms", "ms.", "dr", "dr.", "hon", "hon."]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_accents(names: pd.Series) -> pd.Series:
     """Compatible forms taken apart (NFKD), combining signs left out; nulls stay."""
     return names.map(lambda n: None if n is None else n if n.isascii() else "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)))
