@@ -10,7 +10,7 @@ from ..adapters import phrase, sql
 from ..functions import bills as b
 from ..functions import text as t
 from ..io import table
-from ..operators import records
+from ..operators import name_search, records
 from ..registry import query
 
 
@@ -60,6 +60,21 @@ def name_scores(spark, d):
     return scored.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(-F.col("score"), "s_suppkey")).alias("member"), F.max("score").alias("score"))
 
 
+_CALLED = phrase("c_custkey", ["Ted Lee", "bill DIAZ", "Senator Liz Kim", "jo", "Al Bert", "Robert Bob", "nobody {n}", "ed ed", "Kim,", "Betty Cruz"], n="c_custkey")
+_MEMBERS = phrase("s_suppkey", ["Lee, Edward A.", "Diaz, William", "Kim, Elizabeth", "Jones, Jo", "Bert, Albert", "Roberts, Robert", "Cruz, Elizabeth Betty", "Edwards, Ann", "Lee, Bo", "Kimball, Sue {n}"], n="s_suppkey")
+_NICK = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in name_search.NICKNAMES.items()) + "}"
+
+
+@query("member_by_nickname", f"""WITH q AS (SELECT c_custkey, string_split(lower({_CALLED}), ' ') AS w FROM customer), p AS (SELECT c_custkey, unnest(list_concat(w, list_filter(list_transform(w, lambda x: {_NICK}[x]), lambda x: x IS NOT NULL))) AS part FROM q),
+    r AS (SELECT s_suppkey, lower({_MEMBERS}) AS name FROM supplier),
+    s AS (SELECT c_custkey, s_suppkey, sum(CASE WHEN part = string_split(replace(name, ',', ''), ' ')[1] THEN 3 ELSE 1 END) AS score FROM p JOIN r ON contains(name, part) GROUP BY 1, 2)
+    SELECT c_custkey, arg_min(s_suppkey, (-score, s_suppkey)) AS member, CAST(max(score) AS INTEGER) AS score FROM s GROUP BY 1""")
+def member_by_nickname(spark, d):
+    """The member whose name has most of what a question calls them, nicknames read as names."""
+    asked = table(spark, d, "customer").select("c_custkey", F.expr(_CALLED).alias("q"))
+    return name_search.best_members(asked, "c_custkey", "q", table(spark, d, "supplier").select("s_suppkey", F.expr(_MEMBERS).alias("name")), "s_suppkey", "name")
+
+
 @query("candidate_pick", """SELECT o_custkey, arg_max(o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, year(o_orderdate), -o_orderkey)) AS candidate FROM orders GROUP BY 1""")
 def candidate_pick(spark, d):
     """Of the candidates of a name, one for the office asked for, then the one of the latest election, then the first."""

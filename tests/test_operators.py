@@ -101,3 +101,28 @@ def test_floor_vote_needs_a_marker_or_half_of_the_seats(spark):
     rows = [("a", 1, "Motion", 30, 1), ("b", 2, "Third Reading", 30, 1), ("b", 3, "Motion", 90, 1), ("c", 4, None, 80, 1), ("c", 5, "Floor, in committee", 99, 1)]
     got = records.floor_vote(spark.createDataFrame(rows, "bill string, vote_id int, desc string, participation int, day int"), "bill", 100)
     assert sorted(r.vote_id for r in got.collect()) == [2, 4]
+
+
+def test_members_by_nickname_equal_brute_force(spark):
+    import random
+
+    from civicspark.operators import name_search
+
+    rng = random.Random(5)
+    first, last = ["Edward", "William A.", "Elizabeth", "Al", "Jo-Ann", "Ted"], ["Lee", "Diaz", "Kim", "Albert", "Lee Kim", "O'Neil"]
+    roster = [(i, f"{rng.choice(last)}, {rng.choice(first)}") for i in range(30)] + [(40, None), (41, "")]
+    asked = [(i, " ".join(rng.choice(["ted", "Lee", "bill", "liz", "al", "kim,", "o", "x9", "DIAZ", "ted"]) for _ in range(rng.randrange(4)))) for i in range(60)] + [(99, None)]
+    want = {}
+    for q, text in asked:
+        parts = (text or "").lower().split()
+        parts += [name_search.NICKNAMES[p] for p in parts if p in name_search.NICKNAMES]
+        best = (0, None)
+        for m, name in roster:
+            words = (name or "").lower().replace(",", "").split()
+            score = sum((3 if p == words[0] else 1) for p in parts if words and p in (name or "").lower())
+            if score > best[0]:
+                best = score, m
+        if best[0]:
+            want[q] = best[1], best[0]
+    got = name_search.best_members(spark.createDataFrame(asked, "q long, t string"), "q", "t", spark.createDataFrame(roster, "m long, n string"), "m", "n")
+    assert {r.q: (r.member, r.score) for r in got.collect()} == want and len(want) > 30
