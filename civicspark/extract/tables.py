@@ -33,30 +33,35 @@ class Layout:
 
 
 def spans(line: Column, pattern: str) -> Column:
-    """text and end (characters up to its last) of every match."""
-    found, parts = F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.split(line, pattern)
-    upto = lambda xs, i: F.aggregate(F.slice(xs, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(found, lambda x, i: F.struct(x.alias("text"), (upto(parts, i) + upto(found, i)).alias("end")))
+    """text and end (characters up to its last) of every match. Each regular expression runs once a line."""
+    none = F.array().cast("array<struct<text:string,end:int>>")
+    both = F.arrays_zip(F.split(line, pattern).alias("before"), F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("text"))
 
+    def step(seen: Column, x: Column) -> Column:
+        end = (seen["end"] + F.length(x["before"]) + F.coalesce(F.length(x["text"]), F.lit(0))).cast("int")
+        return F.struct(end.alias("end"), F.when(x["text"].isNull(), seen["found"]).otherwise(F.concat(seen["found"], F.array(F.struct(x["text"].alias("text"), end.alias("end"))))).alias("found"))
 
-def headings(line: Column, years: int = 3) -> Column:
-    """name and end of a row of headings, null of other lines: its fiscal years, and the last total."""
+    return F.aggregate(both, F.struct(F.lit(0).alias("end"), none.alias("found")), step, lambda seen: seen["found"])
+
+
+def headings(line: Column, how: Layout) -> Column:
+    """columns (name, end) and reach of a row of headings, null of other lines: its fiscal years, and the last total; how far a number may stand from one."""
     fy = F.transform(spans(line, YEAR), lambda h: F.struct(F.concat(F.lit("FY"), F.regexp_extract(h["text"], r"(\d{4})", 1)).alias("name"), h["end"].alias("end")))
     total = F.transform(F.slice(F.reverse(spans(line, TOTAL)), 1, 1), lambda h: F.struct(F.lit("Total").alias("name"), h["end"].alias("end")))
-    return F.when(F.size(fy) >= years, F.concat(fy, total))
+    ends = F.array_sort(F.transform(F.concat(fy, total), lambda c: c["end"]))
+    gaps = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.get(ends, i) - F.get(ends, i - 1))
+    reach = F.when(F.size(ends) > 1, F.greatest(F.lit(how.least), F.floor(F.array_min(gaps) / 2).cast("int"))).otherwise(how.alone)
+    return F.when(F.size(F.regexp_extract_all(line, F.lit(YEAR), F.lit(0))) >= how.years, F.struct(F.concat(fy, total).alias("columns"), reach.alias("reach")))
 
 
-def placed(line: Column, columns: Column, how: Layout) -> Column:
+def placed(line: Column, heads: Column) -> Column:
     """name, amount and start of the numbers of a line that stand below a heading."""
-    ends = F.array_sort(F.transform(columns, lambda c: c["end"]))
-    gaps = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.get(ends, i) - F.get(ends, i - 1))
-    reach = F.when(F.size(ends) > 1, F.greatest(F.lit(how.least), F.floor(F.array_min(gaps) / 2).cast("int"))).otherwise(how.alone)
 
     def near(s: Column) -> Column:
-        return F.array_min(F.transform(columns, lambda c: F.struct(F.abs(c["end"] - s["end"]).alias("gap"), (c["name"] == "Total").alias("last"), c["end"].alias("end"), c["name"].alias("name"))))
+        return F.array_min(F.transform(heads["columns"], lambda c: F.struct(F.abs(c["end"] - s["end"]).alias("gap"), (c["name"] == "Total").alias("last"), c["end"].alias("end"), c["name"].alias("name"))))
 
     numbers = F.transform(spans(line, NUMBER), lambda s: F.struct(near(s).alias("at"), F.regexp_replace(s["text"], r"\D", "").cast("long").alias("amount"), (s["end"] - F.length(s["text"])).alias("start")))
-    return F.transform(F.filter(numbers, lambda x: x["at"]["gap"] <= reach), lambda x: F.struct(x["at"]["name"].alias("name"), x["amount"].alias("amount"), x["start"].alias("start")))
+    return F.transform(F.filter(numbers, lambda x: x["at"]["gap"] <= heads["reach"]), lambda x: F.struct(x["at"]["name"].alias("name"), x["amount"].alias("amount"), x["start"].alias("start")))
 
 
 def projects(documents: DataFrame, key: str, text: str, how: Layout) -> DataFrame:
@@ -69,11 +74,11 @@ def projects(documents: DataFrame, key: str, text: str, how: Layout) -> DataFram
     lines = documents.select(key, F.posexplode_outer(F.split(F.regexp_replace(F.col(text), "\f", ""), "\n")).alias("place", "line")).where(F.trim("line") != "")
     down = Window.partitionBy(key).orderBy("place")
     name = F.trim(F.regexp_replace(F.trim("line"), r"\s+", " "))
-    lines = lines.withColumn("section", F.when(name.isin(*how.sections), name)).withColumn("heads", F.when(F.col("section").isNull(), headings(F.col("line"), how.years)))
+    lines = lines.withColumn("section", F.when(name.isin(*how.sections), name)).withColumn("heads", F.when(F.col("section").isNull(), headings(F.col("line"), how)))
     plain = F.col("section").isNull() & F.col("heads").isNull()
     lines = lines.withColumn("columns", F.last("heads", True).over(down)).withColumn("of", F.last("section", True).over(down))
     lines = lines.where("heads is null").where(~plain | (F.col("columns").isNotNull() & ~F.trim("line").rlike(how.furniture)))
-    lines = lines.withColumn("numbers", F.when(plain, placed(F.col("line"), F.col("columns"), how)))
+    lines = lines.withColumn("numbers", F.when(plain, placed(F.col("line"), F.col("columns"))))
     first = F.array_min(F.transform("numbers", lambda n: n["start"]))
     lines = lines.withColumn("label", F.when(F.size("numbers") > 0, F.trim(F.substring(F.col("line"), F.lit(1), first))).otherwise(F.trim("line")))
     kind = F.when(F.col("section").isNotNull(), "section").when(F.size("numbers") == 0, "text").when(F.col("label").rlike(TOTAL), "total").otherwise("fund")
