@@ -22,13 +22,14 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, forget, stored, text_bytes
@@ -37,7 +38,7 @@ from .components import components
 #: Cells of a part; one may differ.
 SUB = 3
 #: Shingles that a task gathers before it signs their sets; sets that share one to call it hot.
-GATHER, HOT = 1 << 20, 64
+GATHER, HOT = 1 << 19, 64
 #: Empty signatures expected of a set below which it gets no further parts.
 RARE = 0.02
 #: Words whose hashes a Python worker remembers.
@@ -215,6 +216,18 @@ _LIVE = pa.schema([*(_SENT.field(c) for c in ("id", "doc_id", "rep", "n", "parit
 _LIVE_DDL = "id long, doc_id long, rep long, n long, parity array<long>, fine array<long>, h long, lead long"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python this many rows at a time while a join runs, so that long texts don't fill what Arrow holds outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "1024")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _rows(schema: pa.Schema, count: int, /, **columns: object) -> pa.RecordBatch:
     """A batch of so many rows with nulls in the columns that aren't given."""
     return batch({f.name: columns.get(f.name, pa.nulls(count, f.type)) for f in schema}, schema)
@@ -431,7 +444,8 @@ def similar_components(docs: DataFrame, how: Similarity = Similarity(), doc_id:
     empty table gives no rows; other columns are ignored.
     """
     noded, node, partitions, apart = _nodes(docs, doc_id, text)
-    named = _grouped(noded, node, partitions, how, doc_id, text)
+    with _small_batches(docs.sparkSession):
+        named = _grouped(noded, node, partitions, how, doc_id, text)
     if apart:  # nodes aren't ids: a component's name is its smallest id
         least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
         named = named.join(least, "root", "left").drop("root").withColumnRenamed("component_id", "root")
@@ -475,7 +489,8 @@ def keep_one(docs: DataFrame, how: Similarity = Similarity(ngram=5, num=80), doc
     others and stay; of rows without words that repeat an id and a text, one stays.
     """
     noded, node, partitions, _ = _nodes(docs, doc_id, text)
-    grouped = _grouped(noded, node, partitions, how, doc_id, text).where("root is not null")
+    with _small_batches(docs.sparkSession):
+        grouped = _grouped(noded, node, partitions, how, doc_id, text).where("root is not null")
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("one")).select(F.col("one.node").alias(f"{node}first"))
     kept = noded.join(stored(first, "representatives"), F.col(node) == F.col(f"{node}first"), "left_semi").dropDuplicates([node])
     return kept.unionByName(noded.where(F.col(node).isNull())).drop(node)
