@@ -27,10 +27,9 @@ def member_lookup(spark, d):
 
 @query("contest_places", """SELECT o_orderkey, lpad(CAST(o_custkey AS STRING), 5, '0') AS fips, c.c_name AS place FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_nationkey < 15""")
 def contest_places(spark, d):
-    """Contests with the place of their code in five digits and their state, where there is one."""
-    fips = lambda c: F.lpad(F.col(c).cast("string"), 5, "0")
-    places = table(spark, d, "customer").where("c_nationkey < 15").select(fips("c_custkey").alias("fips"), F.col("c_name").alias("place"))
-    return table(spark, d, "orders").select("o_orderkey", fips("o_custkey").alias("fips")).join(places, "fips", "left").select("o_orderkey", "fips", "place")
+    """Contests with the place of their key and their state, where there is one. Codes of five digits cut longer keys, so they join nothing."""
+    places = table(spark, d, "customer").where("c_nationkey < 15").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("place"))
+    return table(spark, d, "orders").join(places, "o_custkey", "left").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 5, "0").alias("fips"), "place")
 
 
 @query("vote_labels", """SELECT l_orderkey, l_linenumber, l_partkey, coalesce(CASE WHEN p_size > 45 THEN p_type END, CASE WHEN p_partkey % 5 <> 0 THEN p_name END, o_orderpriority, CAST(l_orderkey AS STRING)) AS label
