@@ -38,3 +38,14 @@ def test_places_of_keys_longer_than_their_code(same):
     orders = [(i, k, "F", 1.0, dt.datetime(2024, 1, 1), "1") for i, k in enumerate([7, 12345, 123456, 123457, 123458, None, 999990])]
     want = same("contest_places", customer=customers, orders=orders)
     assert len(want) == len(orders) and (2, "12345", "n123456") in want
+
+
+def test_pairs_of_repeated_keys_come_once(same):
+    rows = [(10, "a", "c1", "t1", 1, 0.0), (10, "a", "c2", "t1", 1, 0.0), (10, "a", "c2", "t1", 1, 0.0), (20, "b", "c1", "t1", 1, 0.0), (20, "b", None, "t2", 2, 0.0), (4, "d", "c1", "t1", 1, 0.0), (6, "e", None, "t2", 2, 0.0), (5, "f", "c2", None, 1, 0.0), (None, "g", "c1", "t1", 1, 0.0), (3, "h", "c1", "t9", 9, 0.0), (30, "i", "c1", "t9", None, 0.0)]
+    assert (4, 10) in same("contest_matches", part=rows)
+
+
+def test_pairs_reach_the_sink_without_a_shuffle_of_pairs(spark):
+    text = QUERIES["contest_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = text.split("Join")[0]
+    assert text.startswith("Union") and "Aggregate" not in above
