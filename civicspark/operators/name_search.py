@@ -39,12 +39,21 @@ def pieces(name: Column) -> Column:
 def best_members(questions: DataFrame, key: str, question: str, roster: DataFrame, member: str, name: str) -> DataFrame:
     """key, member, score of the member with the highest score, the smallest of several; questions that name nobody give none.
 
-    roster: names as "Last, First". A part that comes twice counts twice. Null names and questions match nothing. An index has a
-    row for each piece of each name, some hundreds a member.
+    roster: names as "Last, First". A part that comes twice counts twice, and a key that stands in several rows has the texts of
+    all of them. Null names and questions match nothing. Points depend on texts alone, so every text is compared once, with
+    the smallest member of each name; an index has a row for each piece of each name, some hundreds a name.
     """
-    asked = questions.select(key, F.explode_outer(parts(F.col(question))).alias("part")).where("part is not null").groupBy(key, "part").agg(F.count("*").alias("times"))
-    last = F.get(F.filter(F.split(F.replace(F.lower(F.coalesce(F.col(name), F.lit(""))), F.lit(","), F.lit("")), r"\s+"), lambda w: w != ""), F.lit(0))
-    index = roster.select(F.col(member).alias("member"), last.alias("last"), F.explode_outer(pieces(F.col(name))).alias("part")).where("part is not null")
-    met = asked.join(index, "part").withColumn("points", F.col("times") * F.when(F.col("part") == F.col("last"), LAST).otherwise(PART))
-    scored = met.groupBy(key, "member").agg(F.sum("points").cast("int").alias("score"))
-    return scored.groupBy(key).agg(F.min_by("member", F.struct(-F.col("score"), "member")).alias("member"), F.max("score").alias("score"))
+    def texts(df: DataFrame, of: str, text: str, name: str) -> DataFrame:
+        """of, name: the texts of a key together. A key without one isn't there."""
+        return df.where(F.col(text).isNotNull()).groupBy(F.col(of).alias(f"{name}_key")).agg(F.sort_array(F.collect_list(text)).alias(name))
+
+    asked, called = texts(questions, key, question, "asks"), texts(roster, member, name, "names")
+    one = asked.select("asks").distinct()
+    part = one.select("asks", F.explode(F.flatten(F.transform("asks", parts))).alias("part")).groupBy("asks", "part").agg(F.count("*").alias("times"))
+    first = called.groupBy("names").agg(F.min("names_key").alias("member"))
+    last = lambda n: F.get(_words(F.replace(n, F.lit(","), F.lit(""))), F.lit(0))
+    index = first.select("member", F.explode("names").alias("n")).select("member", last(F.col("n")).alias("last"), F.explode(pieces(F.col("n"))).alias("part"))
+    met = part.join(index, "part").withColumn("points", F.col("times") * F.when(F.col("part") == F.col("last"), LAST).otherwise(PART))
+    scored = met.groupBy("asks", "member").agg(F.sum("points").cast("int").alias("score"))
+    best = scored.groupBy("asks").agg(F.min_by("member", F.struct(-F.col("score"), "member")).alias("member"), F.max("score").alias("score"))
+    return asked.join(best, "asks").select(F.col("asks_key").alias(key), "member", "score")
