@@ -49,3 +49,22 @@ def test_pairs_reach_the_sink_without_a_shuffle_of_pairs(spark):
     text = QUERIES["contest_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = text.split("Join")[0]
     assert text.startswith("Union") and "Aggregate" not in above
+
+
+def test_names_of_repeated_and_missing_keys(same):
+    customers = [(k, "x", 1, 0.0, "x") for k in (0, 1, 2, 3, 4, 5, 6, 7, 10, 18, 8, 8, 8, None)]
+    assert len(same("name_scores", customer=customers, supplier=[(k, "s", 1, 0.0) for k in (5, 0, 6, 1, 2, 3, 4, 4)])) == 11
+
+
+def test_called_members_of_repeated_and_missing_keys(same):
+    customers = [(k, "x", 1, 0.0, "x") for k in (*range(40), 3, 3, 16, 126, 206, None)]
+    suppliers = [(k, "s", 1, 0.0) for k in (*range(30), 29, 29, 16, 1269, 3009)]
+    assert len(same("member_by_nickname", customer=customers, supplier=suppliers)) > 30
+
+
+def test_questions_of_one_text_are_answered_once(spark):
+    plan = lambda q: QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    for q in ("name_scores", "member_by_nickname"):
+        lines = plan(q).splitlines()
+        met = max((i for i, line in enumerate(lines) if "Join Inner" in line), key=lambda i: lines[i].index("Join"))
+        assert any("Aggregate" in line and "c_custkey" not in line for line in lines[met + 1 :]), q
