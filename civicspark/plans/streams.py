@@ -18,8 +18,8 @@ from ..streaming import jobs, ledger, stateful
 from .checks import _COOLDOWN
 
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, title string, asked string, results long"
-#: Days by which rows come out of order, and files that the source has.
-_OFF, _FILES = 1, 2
+#: Days by which rows come out of order, and files that the source has; states that the keys of a stream share.
+_OFF, _FILES, _BUCKETS = 1, 2, 512
 
 
 def _fed(spark: SparkSession, d: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -53,7 +53,7 @@ def _fed(spark: SparkSession, d: str, job: Callable[[DataFrame], DataFrame]) ->
 
 @query("stream_cooldown", _COOLDOWN.format(days=3))
 def stream_cooldown(spark, d):
-    return _fed(spark, d, lambda s: stateful.cooldown(s, 3 * 86400, "2 days")).where("event_id >= 0")
+    return _fed(spark, d, lambda s: stateful.cooldown(s, 3 * 86400, "2 days", _BUCKETS)).where("event_id >= 0")
 
 
 @query("stream_transitions", """WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS t, CASE event_type WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS now FROM events),
@@ -62,7 +62,7 @@ def stream_cooldown(spark, d):
     SELECT event_id, user_id, CAST(before AS INTEGER) AS before, CAST(now AS INTEGER) AS now FROM c WHERE now > before""")
 def stream_transitions(spark, d):
     """States that a user's events raise; a state is forgotten ten days after the user's last event."""
-    return _fed(spark, d, lambda s: stateful.transitions(s, 10, "2 days")).where("event_id >= 0")
+    return _fed(spark, d, lambda s: stateful.transitions(s, 10, "2 days", _BUCKETS)).where("event_id >= 0")
 
 
 @query("stream_title_segments", """WITH e AS (SELECT event_id, user_id, ts, epoch_us(ts) AS t, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type || ' ' || event_id END AS title FROM events),
@@ -71,7 +71,7 @@ def stream_transitions(spark, d):
     SELECT user_id, max(title) AS title, min(ts) AS start, max(ts) AS stop, count(*) AS n FROM s GROUP BY user_id, segment HAVING max(title) IS NOT NULL""")
 def stream_title_segments(spark, d):
     """Runs of a user's events from one with a title to the next, or to a pause of five days."""
-    return _fed(spark, d, lambda s: stateful.title_segments(s, 5 * 86400, "2 days")).where("user_id >= 0")
+    return _fed(spark, d, lambda s: stateful.title_segments(s, 5 * 86400, "2 days", _BUCKETS)).where("user_id >= 0")
 
 
 @query("stream_cache_hits", """WITH RECURSIVE e AS (SELECT event_id, event_type || CAST(user_id % 50 AS VARCHAR) AS asked, epoch_us(ts) AS t, CASE WHEN event_id % 3 > 0 AND CAST(json_extract_string(props, '$.k') AS BIGINT) <> 0 THEN 48 ELSE 2 END AS hours FROM events),
@@ -81,7 +81,7 @@ def stream_title_segments(spark, d):
     SELECT event_id, hit FROM r""")
 def stream_cache_hits(spark, d):
     """Requests that an answer was held for: two days, or two hours where it was empty."""
-    return _fed(spark, d, lambda s: stateful.cache_hits(s, 2 * 3600, 48 * 3600, "2 days")).where("event_id >= 0")
+    return _fed(spark, d, lambda s: stateful.cache_hits(s, 2 * 3600, 48 * 3600, "2 days", _BUCKETS)).where("event_id >= 0")
 
 
 @query("stream_log_tail", """SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
