@@ -66,8 +66,9 @@ def fit(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", li
     c = centroids(np.array([r.x for r in drawn], float), lists) if drawn else np.zeros((0, 0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
                 near = unit(_matrix(b.column(1))) @ c.T
                 at = near.argmax(axis=1)
                 angle = np.arccos(np.clip(near[np.arange(len(at)), at], -1, 1))

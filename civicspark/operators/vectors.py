@@ -10,8 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and rows of a block; queries of a round, which are broadcast together.
-QUERIES, ROWS, ROUND = 256, 4096, 16_384
+#: Queries and rows of a block; queries of a round, which are broadcast together; similarities that a task holds at a time.
+QUERIES, ROWS, ROUND, CELLS = 256, 4096, 16_384, 1 << 19
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -25,6 +25,35 @@ def packed_blocks(df: DataFrame, by: list[str], ident: str, vector: str, name: s
     return packed.select(*by, F.transform("r", lambda r: r["id"]).alias(f"{name}_ids"), F.transform("r", lambda r: r["x"]).alias(f"{name}_xs"))
 
 
+def top(k: int, ids: np.ndarray, xs: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """similarity, id (a row for each query, k columns, -inf where there is none) of the nearest rows of unit vectors, which come
+    block by block. A piece of CELLS similarities is held at a time; only what reaches a query's k-th best so far is sorted."""
+    best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+    for all_own, all_x in blocks:
+        for at in range(0, len(all_own), CELLS // QUERIES):
+            own, x = all_own[at : at + CELLS // QUERIES], all_x[at : at + CELLS // QUERIES]
+            for lo in range(0, len(ids), QUERIES):
+                here = slice(lo, lo + QUERIES)
+                s = np.floor(xs[here] @ x.T * 10_000 + 0.5) / 10_000
+                s[(ids[here, None] == own[None, :]) | np.isnan(s)] = -np.inf
+                least = best[0][here, -1]
+                if len(own) > k:
+                    least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+                q, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                if len(q):
+                    of = np.concatenate((np.repeat(np.arange(len(s)), k), q))
+                    found = np.concatenate((best[0][here].ravel(), s[q, c])), np.concatenate((best[1][here].ravel(), own[c]))
+                    order = np.lexsort((found[1], -found[0], of))
+                    first = order[np.searchsorted(of[order], np.arange(len(s)))[:, None] + np.arange(k)]
+                    best[0][here], best[1][here] = found[0][first], found[1][first]
+    return best
+
+
+def _found(k: int, ids: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    keep = best[0] > -np.inf
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(best[1][keep]), pa.array(best[0][keep])], names=["query", "vec_id", "similarity"])
+
+
 def score_blocks(k: int):
     """Of blocks of queries beside blocks of rows, the k nearest rows of each query."""
     def unit(xs: pa.ListScalar) -> np.ndarray:
@@ -34,12 +63,7 @@ def score_blocks(k: int):
         for b in batches:
             for i in range(b.num_rows):
                 q, rows = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("qb_ids", "rb_ids"))
-                s = np.floor(unit(b.column("qb_xs")[i]) @ unit(b.column("rb_xs")[i]).T * 10_000 + 0.5) / 10_000
-                s[q[:, None] == rows[None, :]] = np.nan
-                order = np.lexsort((np.broadcast_to(rows, s.shape), -s))[:, :k]  # nan, the query itself, comes last
-                best = np.take_along_axis(s, order, axis=1)
-                keep = ~np.isnan(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, keep.sum(axis=1))), pa.array(rows[order][keep]), pa.array(best[keep])], names=["query", "vec_id", "similarity"])
+                yield _found(k, q, top(k, q, unit(b.column("qb_xs")[i]), iter([(rows, unit(b.column("rb_xs")[i]))])))
 
     return run
 
@@ -47,21 +71,8 @@ def score_blocks(k: int):
 def _in_place(k: int, sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, xs = sent.value
-        best: list[np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            s = np.floor(xs @ _unit(x).T * 10_000 + 0.5) / 10_000
-            s[ids[:, None] == own[None, :]] = np.nan
-            rows = np.broadcast_to(own, s.shape)
-            if best is not None:
-                s, rows = np.concatenate((best[0], s), axis=1), np.concatenate((best[1], rows), axis=1)
-            order = np.lexsort((rows, -s))[:, :k]  # nan, the query itself, comes last
-            best = [np.take_along_axis(s, order, axis=1), np.take_along_axis(rows, order, axis=1)]
-        if best is not None:
-            keep = ~np.isnan(best[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(best[1][keep]), pa.array(best[0][keep])], names=["query", "vec_id", "similarity"])
+        blocks = ((b.column(0).to_numpy(), _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))) for b in batches if b.num_rows)
+        yield _found(k, ids, top(k, ids, xs, blocks))
 
     return run
 

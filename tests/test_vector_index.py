@@ -60,3 +60,23 @@ def test_empty_and_odd_tables(spark):
         assert vectors.nearest(v, q).collect() == [] and vector_index.search(vector_index.fit(v), q, exact=True).collect() == []
     got = sorted(map(tuple, vector_index.search(vector_index.fit(zero), zero.where("vec_id = 3"), exact=True).collect()))
     assert got == [(3, 2, 0.0, 1), (3, 2, 0.0, 2)]
+
+
+def test_a_search_holds_few_similarities_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    from civicspark.operators import vectors
+
+    rng = np.random.default_rng(1)
+    x = vectors._unit(np.round(rng.normal(size=(6000, 4)), 1) + 0.05)
+    own, ids, xs = np.arange(6000)[::-1].copy(), np.arange(4000, 7000), x[::2]
+    tracemalloc.start()
+    best = vectors.top(3, ids, xs, iter([(own[:2500], x[:2500]), (own[2500:2502], x[2500:2502]), (own[2502:], x[2502:])]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all similarities are 144 MB
+    s = np.floor(xs @ x.T * 10_000 + 0.5) / 10_000
+    s[ids[:, None] == own[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(own, s.shape), -s))[:, :3]
+    assert (best[1] == own[order]).all() and (best[0] == np.take_along_axis(s, order, axis=1)).all()
