@@ -91,7 +91,8 @@ def district_members(spark, d):
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     members = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("st"), two(F.col("s_suppkey") % 7).cast("long").alias("dist"))
     asked = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("st"), (F.col("c_custkey") % 7).alias("dist"))
-    return asked.join(members, ["st", "dist"]).groupBy("c_custkey", F.concat(two(F.col("st")), two(F.col("dist"))).alias("geoid")).agg(F.min("s_suppkey").alias("member"))
+    first = members.groupBy("st", "dist").agg(F.min("s_suppkey").alias("s_suppkey"))  # before the join, which would pair all members of a district with all who ask
+    return asked.join(first, ["st", "dist"]).groupBy("c_custkey", F.concat(two(F.col("st")), two(F.col("dist"))).alias("geoid")).agg(F.min("s_suppkey").alias("member"))
 
 
 @query("contest_matches", """WITH p AS (SELECT p_partkey AS place, p_brand AS city, p_size AS st, p_type AS county FROM part), c AS (SELECT ps.p_partkey AS contest, p_brand AS city, p_size AS st, p_type AS county FROM part ps WHERE p_partkey % 2 = 0)
