@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,20 +73,23 @@ def shared_enough(a: Column, b: Column) -> Column:
 
 
 def greedy(pairs: DataFrame, group: list[str], entry: str, vote: str, score: str) -> DataFrame:
-    """Pairs best first within each group: an entry once, a vote once. Groups are the entries of one meeting, which are few;
-    they are cut by group before Python sees them, so no task holds more than one group at a time."""
-    schema = pairs.schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries, votes, keep = set(), set(), []
-        for i, e, v in pdf.sort_values([score, entry, vote], ascending=[False, True, True])[[entry, vote]].itertuples():
-            if e not in entries and v not in votes:
-                entries.add(e)
-                votes.add(v)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return pairs.groupBy(*group).applyInPandas(pick, schema)
+    """Pairs best first within each group: an entry once, a vote once. Groups are the entries of one meeting; sorted pairs
+    stream through a task, which holds what the group at hand has used, and nothing is called for each group."""
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, entries, votes = None, set(), set()
+        for pdf in frames:
+            keep = []
+            for *of, e, v in pdf[[*group, entry, vote]].itertuples(index=False, name=None):
+                if of != at:
+                    at, entries, votes = of, set(), set()
+                free = e not in entries and v not in votes
+                keep.append(free)
+                if free:
+                    entries.add(e)
+                    votes.add(v)
+            yield pdf[np.array(keep, bool)]
+
+    return pairs.repartition(*group).sortWithinPartitions(*group, F.desc(score), entry, vote).mapInPandas(pick, pairs.schema)
 
 
 def tiered_match(entries: DataFrame, votes: DataFrame) -> DataFrame:
@@ -103,10 +107,8 @@ def tiered_match(entries: DataFrame, votes: DataFrame) -> DataFrame:
     used = first.unionByName(second)
     left = e.join(used.select("entry_id").distinct(), "entry_id", "left_anti")
     free = v.join(used.select("vote_id").distinct(), "vote_id", "left_anti")
-    words = lambda df, c: df.withColumn("w", F.explode(c))
-    shared = words(left, "ew").join(words(free, "vw").select("meeting", "vote_id", "w", "vr", F.size("vw").alias("nv")), ["meeting", "w"]).where(F.col("er") == F.col("vr"))
-    scored = shared.groupBy("meeting", "entry_id", "vote_id").agg(F.count("*").alias("n"), F.least(F.first(F.size("ew")), F.first("nv")).alias("least"))
-    scored = scored.where("n >= 2").withColumn("score", F.col("n") / F.col("least")).where("score >= 0.3").select("meeting", "entry_id", "vote_id", "score")
+    both = left.join(free, (left["meeting"] == free["meeting"]) & (F.col("er") == F.col("vr"))).withColumn("n", F.size(F.array_intersect("ew", "vw"))).where("n >= 2")
+    scored = both.select(left["meeting"], "entry_id", "vote_id", (F.col("n") / F.least(F.size("ew"), F.size("vw"))).alias("score")).where("score >= 0.3")
     third = greedy(scored, ["meeting"], "entry_id", "vote_id", "score").select("meeting", "entry_id", "vote_id")
     tier = lambda df, n: df.withColumn("tier", F.lit(n))
     return tier(first, 1).unionByName(tier(second, 2)).unionByName(tier(third, 3)).select("entry_id", "vote_id", "tier")

@@ -68,3 +68,17 @@ def test_questions_of_one_text_are_answered_once(spark):
         lines = plan(q).splitlines()
         met = max((i for i, line in enumerate(lines) if "Join Inner" in line), key=lambda i: lines[i].index("Join"))
         assert any("Aggregate" in line and "c_custkey" not in line for line in lines[met + 1 :]), q
+
+
+def test_members_are_reduced_before_they_meet_askers(spark):
+    plan = QUERIES["district_members"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]
+
+
+def test_best_pairs_stream_through_a_task(spark):
+    from civicspark.operators import checks
+
+    rows = [("m", "a", "x", 0.5), ("m", "a", "y", 0.9), ("m", "b", "y", 0.8), ("m", "b", "x", 0.5), ("n", "a", "x", 0.3), ("n", "c", "x", 0.3)]
+    df = checks.greedy(spark.createDataFrame(rows, "g string, e string, v string, s double"), ["g"], "e", "v", "s")
+    assert sorted((r.g, r.e, r.v) for r in df.collect()) == [("m", "a", "y"), ("m", "b", "x"), ("n", "a", "x")]
+    assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
