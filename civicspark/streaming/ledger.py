@@ -49,7 +49,8 @@ def once(path: str, check: Callable[[DataFrame], DataFrame] | None = None) -> Ca
         batch.sparkSession.createDataFrame([line], LINE).coalesce(1).write.mode("overwrite").json(f"{path}/ledger/batch={number}")
 
     def run(batch: DataFrame, number: int) -> None:
-        spark, kept = batch.sparkSession, batch.persist()
+        spark = batch.sparkSession
+        kept = batch.repartition(spark.sparkContext.defaultParallelism).persist()  # a file would be one task's
         known, n = digest(kept)
         before = lines(spark, path).where((F.col("batch") == number) | (F.col("digest") == known) & (F.col("status") == MERGED)).collect()  # one line of that number, and one of that digest
         mine = [r for r in before if r.batch == number]
