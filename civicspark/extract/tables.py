@@ -12,6 +12,7 @@ one above, so that no line is read twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,36 +33,45 @@ class Layout:
     years: int = 3
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def spans(line: Column, pattern: str) -> Column:
     """text and end (characters up to its last) of every match. Each regular expression runs once a line."""
-    none = F.array().cast("array<struct<text:string,end:int>>")
     both = F.arrays_zip(F.split(line, pattern).alias("before"), F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("text"))
 
-    def step(seen: Column, x: Column) -> Column:
-        end = (seen["end"] + F.length(x["before"]) + F.coalesce(F.length(x["text"]), F.lit(0))).cast("int")
-        return F.struct(end.alias("end"), F.when(x["text"].isNull(), seen["found"]).otherwise(F.concat(seen["found"], F.array(F.struct(x["text"].alias("text"), end.alias("end"))))).alias("found"))
-
-    return F.aggregate(both, F.struct(F.lit(0).alias("end"), none.alias("found")), step, lambda seen: seen["found"])
+    # Lines have few matches; an array that grew match by match would be copied as often.
+    until = lambda b, i: F.aggregate(F.slice(b, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x["before"]) + F.length(x["text"]))
+    return _with(both, lambda b: F.transform(F.filter(b, lambda x: x["text"].isNotNull()), lambda x, i: F.struct(x["text"].alias("text"), until(b, i + 1).alias("end"))))
 
 
 def headings(line: Column, how: Layout) -> Column:
     """columns (name, end) and reach of a row of headings, null of other lines: its fiscal years, and the last total; how far a number may stand from one."""
     fy = F.transform(spans(line, YEAR), lambda h: F.struct(F.concat(F.lit("FY"), F.regexp_extract(h["text"], r"(\d{4})", 1)).alias("name"), h["end"].alias("end")))
     total = F.transform(F.slice(F.reverse(spans(line, TOTAL)), 1, 1), lambda h: F.struct(F.lit("Total").alias("name"), h["end"].alias("end")))
-    ends = F.array_sort(F.transform(F.concat(fy, total), lambda c: c["end"]))
-    gaps = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.get(ends, i) - F.get(ends, i - 1))
-    reach = F.when(F.size(ends) > 1, F.greatest(F.lit(how.least), F.floor(F.array_min(gaps) / 2).cast("int"))).otherwise(how.alone)
-    return F.when(F.size(F.regexp_extract_all(line, F.lit(YEAR), F.lit(0))) >= how.years, F.struct(F.concat(fy, total).alias("columns"), reach.alias("reach")))
+
+    def reach(ends: Column) -> Column:
+        gaps = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.get(ends, i) - F.get(ends, i - 1))
+        return F.when(F.size(ends) > 1, F.greatest(F.lit(how.least), F.floor(F.array_min(gaps) / 2).cast("int"))).otherwise(how.alone)
+
+    heads = _with(F.concat(fy, total), lambda columns: F.struct(columns.alias("columns"), _with(F.array_sort(F.transform(columns, lambda c: c["end"])), reach).alias("reach")))
+    return F.when(line.rlike(YEAR) & (F.size(F.regexp_extract_all(line, F.lit(YEAR), F.lit(0))) >= how.years), heads)
 
 
 def placed(line: Column, heads: Column) -> Column:
     """name, amount and start of the numbers of a line that stand below a heading."""
 
     def near(s: Column) -> Column:
-        return F.array_min(F.transform(heads["columns"], lambda c: F.struct(F.abs(c["end"] - s["end"]).alias("gap"), (c["name"] == "Total").alias("last"), c["end"].alias("end"), c["name"].alias("name"))))
+        # gap, whether it is the total, and place of the nearest heading, in one number each: structs would be compared field by field.
+        each = F.transform(heads["columns"], lambda c, i: (F.abs(c["end"] - s["end"]).cast("long") * 2 + (c["name"] == "Total").cast("long")) * 65536 + i)
+        return F.array_min(each)
 
-    numbers = F.transform(spans(line, NUMBER), lambda s: F.struct(near(s).alias("at"), F.regexp_replace(s["text"], r"\D", "").cast("long").alias("amount"), (s["end"] - F.length(s["text"])).alias("start")))
-    return F.transform(F.filter(numbers, lambda x: x["at"]["gap"] <= heads["reach"]), lambda x: F.struct(x["at"]["name"].alias("name"), x["amount"].alias("amount"), x["start"].alias("start")))
+    numbers = F.transform(spans(line, NUMBER), lambda s: F.struct(near(s).alias("at"), s.alias("s")))
+    fits = F.filter(numbers, lambda x: x["at"] < (heads["reach"].cast("long") + 1) * 131072)
+    value = lambda x: F.regexp_replace(x["s"]["text"], r"\D", "").cast("long")
+    return F.transform(fits, lambda x: F.struct(F.get(heads["columns"], (x["at"] % 65536).cast("int"))["name"].alias("name"), value(x).alias("amount"), (x["s"]["end"] - F.length(x["s"]["text"])).alias("start")))
 
 
 def projects(documents: DataFrame, key: str, text: str, how: Layout) -> DataFrame:
@@ -92,9 +102,9 @@ def projects(documents: DataFrame, key: str, text: str, how: Layout) -> DataFram
     is_fund = (F.col("kind") == "fund") & (F.col("label") != "") & ~F.col("label").rlike(r"^\d") & (F.length("label") < 80)
     in_order = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("place", "label")))), lambda x: x["label"])
     total = F.get(F.filter("numbers", lambda n: n["name"] == "Total"), F.lit(0))["amount"]
-    heads = lines.groupBy(key, "project").agg(F.first("of").alias("section"), F.array_join(in_order(named), " ").alias("title"), F.array_distinct(in_order(is_fund)).alias("funds"), F.max(F.when(F.col("kind") == "total", total)).alias("printed"), F.count_if(F.col("kind") == "total").alias("totals"))
-    years = lines.where("kind = 'fund'").select(key, "project", F.explode_outer("numbers").alias("n")).where("n.name <> 'Total'")
-    sums = years.groupBy(key, "project", F.col("n.name").alias("year")).agg(F.sum("n.amount").alias("amount"))
-    amounts = sums.groupBy(key, "project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", "amount")))).alias("amounts"))
-    whole = heads.join(amounts, [key, "project"], "left")
-    return whole.where("amounts is not null or size(funds) > 0 or totals > 0").select(key, "project", "section", "title", "funds", F.coalesce("amounts", F.create_map().cast("map<string,bigint>")).alias("amounts"), "printed")
+    # A project's lines meet once: a second branch for its amounts would read every document again.
+    dated = F.flatten(F.collect_list(F.when(F.col("kind") == "fund", F.filter("numbers", lambda n: n["name"] != "Total"))))
+    whole = lines.groupBy(key, "project").agg(F.first("of").alias("section"), F.array_join(in_order(named), " ").alias("title"), F.array_distinct(in_order(is_fund)).alias("funds"), F.max(F.when(F.col("kind") == "total", total)).alias("printed"), F.count_if(F.col("kind") == "total").alias("totals"), dated.alias("dated"))
+    year = lambda y: F.struct(y.alias("year"), F.aggregate("dated", F.lit(0).cast("long"), lambda a, n: F.when(n["name"] == y, a + n["amount"]).otherwise(a)).alias("amount"))
+    amounts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform("dated", lambda n: n["name"]))), year))
+    return whole.where("size(dated) > 0 or size(funds) > 0 or totals > 0").select(key, "project", "section", "title", "funds", amounts.alias("amounts"), "printed")

@@ -213,3 +213,31 @@ def test_jobs_certify_what_a_second_source_says_too(spark):
     page = spark.createDataFrame([("p", "Meeting Date:|03/04/2005|Vote Action:|Adopted|Member Name|CD|Vote|Ann|1|YES"), ("m", "   2024-0001 x\n  Aye: 1 - Council Member Coghill")], "doc string, text string")
     assert [tuple(r) for r in jobs.EXTRACTORS["council_file"](page).collect()] == [("p", "Adopted", "Ann", "aye", "2005-03-04 Adopted")]
     assert [tuple(r) for r in jobs.EXTRACTORS["printed_minutes"](page).collect()] == [("m", "2024-0001", "Coghill", "aye", "Aye 1")]
+
+
+def test_writers_and_readers_stay_within_what_the_jvm_compiles_and_read_documents_once(spark):
+    """A method of more than 8000 bytes is never compiled; a second scan of a table but for its own join is a document read twice."""
+    from civicspark.plans import extracts
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        written = extracts._written(spark, "/root/testdata/sf0.001", extracts._plan_texts(False), "lineitem", "orders")
+        code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(written._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(extracts.project_tables(spark, "/root/testdata/sf0.001")).count("posexplode") == 1
+
+
+def test_spans_and_ties_between_headings(spark):
+    how = tables.Layout(("Parks",))
+    lines = ["Sources    FY 2024   FY 2025   FY 2026     Total", "a1 (2,000) x 30", "none", ""]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", tables.spans(F.col("line"), tables.NUMBER).alias("s")).orderBy("i").collect()
+    assert [[(x.text, x.end) for x in r.s] for r in rows] == [[("2024", 18), ("2025", 28), ("2026", 38)], [("1", 2), ("(2,000)", 10), ("30", 15)], [], []]
+    # Its end stands between two columns: the first one counts; between a year and the total: the year.
+    text = "\n".join([lines[0], "Bonds" + "7".rjust(18) + "9".rjust(20), "Total" + "16".rjust(43)])
+    docs = spark.createDataFrame([("d", text), ("e", None)], "doc string, text string")
+    got = tables.projects(docs, "doc", "text", how).collect()
+    assert [(r.doc, r.project, r.amounts, r.printed) for r in got] == [("d", 1, {"FY2024": 7, "FY2026": 9}, 16)]
