@@ -241,3 +241,12 @@ def test_spans_and_ties_between_headings(spark):
     docs = spark.createDataFrame([("d", text), ("e", None)], "doc string, text string")
     got = tables.projects(docs, "doc", "text", how).collect()
     assert [(r.doc, r.project, r.amounts, r.printed) for r in got] == [("d", 1, {"FY2024": 7, "FY2026": 9}, 16)]
+
+
+def test_results_count_each_vote_once(spark):
+    """The filter on counts was pushed below them, where it computed the votes again for each word."""
+    page = "<b>Meeting Date:</b><i>01/02/2003</i><p>Vote Action:|Adopted</p><th>Member Name</th><th>CD</th><th>Vote</th><td>A</td><td>1</td><td>Yes</td><td>B</td><td>2</td><td>No</td><p>end</p>"
+    found = blocks.assertions(blocks.vote_blocks(spark.createDataFrame([(1, page), (2, None), (3, page.replace("Yes", "?"))], "k int, h string"), "k", "h"), "k")
+    assert [(r.k, r.block, r.aye, r.no, r.result) for r in found.collect()] == [(1, 1, 1, 1, "fail")]
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line]
+    assert not any("= aye" in line for line in filters)
