@@ -30,7 +30,7 @@ from .common import batch, held_out, stored, text_bytes
 
 DEPTH = 5
 #: Bytes of a block, and of the part of it whose positions are numbered at once.
-BLOCK, CHUNK = 32 << 20, 4 << 20
+BLOCK, CHUNK = 32 << 20, 2 << 20
 #: A byte that UTF-8 never has: stands before each text and ends it. And what no word is.
 EDGE, END = b"\xff", b"\xff"
 _CODEC = "zstd"
@@ -95,10 +95,12 @@ def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(content) * width <= max(1 << 22, 8 * len(pair)):
             seen = np.zeros(len(content) * width, bool)
             seen[pair] = True
-            found = np.flatnonzero(seen)
-            number = np.zeros(len(seen), np.int32)
+            found, size = np.flatnonzero(seen), len(seen)
+            del seen
+            number = np.zeros(size, np.int32)
             number[found] = np.arange(len(found), dtype=np.int32)
             ids = number[pair]
+            del number
         else:
             found, ids = np.unique(pair, return_inverse=True)
             ids = ids.astype(np.int32)
@@ -135,6 +137,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return [distinct], [np.bincount(inverse, np.concatenate(counts), len(distinct))]
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct strings of a block and how often those that are learned from have each."""
     for row in _rows(batches):
@@ -148,22 +155,24 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     learn[s : s + len(t) + 1] = True
             keys.append(found)
             counts.append(np.bincount(ids[learn], minlength=len(found)))
+            if len(keys) > 4:  # what a block holds grows with its distinct strings, not with its chunks
+                keys, counts = _summed(keys, counts)
         if keys:
-            distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            yield from _pieces(row["block"], distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64))
+            (keys,), (counts,) = _summed(keys, counts)
+            yield from _pieces(row["block"], keys, counts.astype(np.int64))
 
 
 def _learned(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
     """The distinct tokens of a block and how often those that are learned from have each."""
-    counts, others = Counter(), set()
+    counts = Counter()  # the only dictionary of a block: a second one of its words would cost as much as its text
     for t, h in zip(texts, held, strict=True):
         if h:
-            others.update(t.split())
-            others.add(END)
+            for word in (*t.split(), END):
+                counts.setdefault(word, 0)
         else:
             counts.update(t.split())
             counts[END] += 1
-    return dict.fromkeys(others, 0) | counts
+    return counts
 
 
 def _hashes(words: dict[bytes, int]) -> np.ndarray:
@@ -307,6 +316,7 @@ def _scorer(tokens: int, distinct: int):
         strings, logs = keys[kind == 1][order], values[kind == 1][order]
         order = np.argsort(keys[kind == 0])
         shared, counts = keys[kind == 0][order], values[kind == 0][order]
+        del kind, keys, values, order, model
         for row in _rows(packs.to_batches()):
             texts, held = _texts(row), row["held"]
             words = _learned(texts, held)
@@ -314,7 +324,10 @@ def _scorer(tokens: int, distinct: int):
             if len(shared):
                 at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
                 c = np.where(shared[at] == hashes, counts[at], c)
-            place, known, c = dict(zip(words, range(len(words)), strict=True)), c > 0, np.log10(c + 0.1)
+            for i, word in enumerate(words):  # from here on a word's place
+                words[word] = i
+            place, known, c = words, c > 0, np.log10(c + 0.1)
+            del hashes
             for part in _chunks(texts):
                 ids, found, starts = _strings(texts[part])
                 logp = logs[np.searchsorted(strings, found)]

@@ -345,3 +345,32 @@ def test_pipeline_stages_against_plain_references(spark, tmp_path, empty):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in final) == [i for i in kept if i != 21]  # one class of labels: nothing is rejected
     assert {r.doc_id: r.n_tokens for r in final} == {i: len(words(t)) + 1 for i, t in rows if i in kept and i != 21}
+
+
+def test_a_block_of_the_language_model_holds_its_distinct_strings_once(monkeypatch):
+    """Strings of all chunks waited for one sum, so a block of many chunks held as many copies of them."""
+    import random
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from civicspark.llm import lm_ctw
+
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)).encode()
+
+    def grams(times: int) -> tuple[Counter, int]:
+        texts = [text] * times
+        row = pa.RecordBatch.from_pydict({"block": [1], "doc_ids": [list(range(times))], "held": [[i == 0 for i in range(times)]], "sizes": [[len(text)] * times], "text": [pa.compress(b"".join(texts), "zstd", asbytes=True)]}, schema=lm_ctw._PACKS)
+        tracemalloc.start()
+        batches = list(lm_ctw._grams(iter([row])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return Counter({k: n for b in batches for k, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)}), peak
+
+    monkeypatch.setattr(lm_ctw, "CHUNK", len(text))
+    (few, small), (many, large) = grams(8), grams(48)
+    assert few.keys() == many.keys() and all(many[k] * 7 == few[k] * 47 for k in few) and sum(few.values()) == 7 * (len(text) + 1)
+    assert large < small + 48 * len(text) * 2
+    assert lm_ctw._learned([b"a b a", b"b c"], [False, True]) == {b"a": 2, b"b": 1, b"c": 0, lm_ctw.END: 1}
