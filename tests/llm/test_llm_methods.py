@@ -355,8 +355,6 @@ def test_a_block_of_the_language_model_holds_its_distinct_strings_once(monkeypat
 
     import pyarrow as pa
 
-    from civicspark.llm import lm_ctw
-
     rng = random.Random(3)
     text = " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)).encode()
 
