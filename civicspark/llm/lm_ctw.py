@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, held_out, stored, text_bytes
+from .common import batch, forget, held_out, stored, text_bytes
 
 DEPTH = 5
-#: Bytes of a block, and of the part of it whose positions are numbered at once.
-BLOCK, CHUNK = 32 << 20, 2 << 20
+#: Bytes of a block, and of the part of it whose positions are looked up at once.
+BLOCK, CHUNK = 32 << 20, 1 << 20
 #: A byte that UTF-8 never has: stands before each text and ends it. And what no word is.
 EDGE, END = b"\xff", b"\xff"
 _CODEC = "zstd"
@@ -76,39 +76,18 @@ def _texts(row: dict) -> list[bytes]:
     return [data[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
 
-def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every position's string of DEPTH + 1 bytes as a dense number, the strings by number, and where
-    each text's positions (its bytes and end) begin. Keys hold the nearest context byte highest, the byte itself lowest."""
-    pad = EDGE * DEPTH
-    buffer = np.frombuffer(b"".join([pad + t + EDGE for t in texts]), np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(t) + DEPTH + 1 for t in texts])))[:-1] + DEPTH
-    present = np.flatnonzero(np.bincount(buffer, minlength=256))
-    rank = np.zeros(256, np.int32)
-    rank[present] = np.arange(len(present))
-    byte = rank[buffer]
-    ids, width = byte, len(present)
-    content = present[:, None].astype(np.uint8)  # the bytes of each number, oldest first
-    for _ in range(DEPTH):
-        pair = ids[:-1].astype(np.int64 if len(content) * width > 1 << 31 else np.int32)
-        pair *= width
-        pair += byte[len(byte) - len(pair) :]
-        if len(content) * width <= max(1 << 22, 8 * len(pair)):
-            seen = np.zeros(len(content) * width, bool)
-            seen[pair] = True
-            found, size = np.flatnonzero(seen), len(seen)
-            del seen
-            number = np.zeros(size, np.int32)
-            number[found] = np.arange(len(found), dtype=np.int32)
-            ids = number[pair]
-            del number
-        else:
-            found, ids = np.unique(pair, return_inverse=True)
-            ids = ids.astype(np.int32)
-        content = np.concatenate([content[found // width], present[found % width][:, None].astype(np.uint8)], axis=1)
-    keys = np.zeros(len(content), np.int64)
-    for i in range(DEPTH - 1, -1, -1):  # nearest context byte first
-        keys = (keys << 8) | content[:, i]
-    return ids, (keys << 8) | content[:, DEPTH], starts - DEPTH
+def _strings(texts: list[bytes]) -> np.ndarray:
+    """The string of DEPTH + 1 bytes of every position, a text's bytes and then its end. Nearest context byte highest, the byte itself lowest."""
+    buffer = np.frombuffer(b"".join([EDGE * DEPTH + t + EDGE for t in texts]), np.uint8)
+    n = len(buffer) - DEPTH
+    keys = buffer[DEPTH - 1 : DEPTH - 1 + n].astype(np.int64)
+    for i in (*range(DEPTH - 2, -1, -1), DEPTH):
+        keys <<= 8
+        keys |= buffer[i : i + n]
+    between = np.cumsum([len(t) + DEPTH + 1 for t in texts])[:-1, None] + np.arange(-DEPTH, 0)  # what stands before the next text
+    own = np.ones(n, bool)
+    own[between.ravel()] = False
+    return keys[own]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[slice]:
@@ -148,13 +127,16 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, held = _texts(row), row["held"]
         keys, counts = [], []
         for c in _chunks(texts):
-            ids, found, starts = _strings(texts[c])
-            learn = np.zeros(len(ids), bool)
-            for s, t, h in zip(starts.tolist(), texts[c], held[c], strict=True):
-                if not h:
-                    learn[s : s + len(t) + 1] = True
-            keys.append(found)
-            counts.append(np.bincount(ids[learn], minlength=len(found)))
+            marked = _strings(texts[c])
+            marked <<= 1
+            marked |= np.repeat(np.logical_not(held[c]), [len(t) + 1 for t in texts[c]])
+            marked.sort()
+            string = marked >> 1
+            first = np.flatnonzero(np.concatenate(([True], string[1:] != string[:-1])))
+            keys.append(string[first])
+            marked &= 1
+            counts.append(np.add.reduceat(marked, first))
+            del marked, string, first
             if len(keys) > 4:  # what a block holds grows with its distinct strings, not with its chunks
                 keys, counts = _summed(keys, counts)
         if keys:
@@ -162,6 +144,29 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _pieces(row["block"], keys, counts.astype(np.int64))
 
 
+#: For a byte at a place of a word, the product of these; a word's hash is their sum modulo 2^64. Longer words have their xxHash.
+_LONGEST = 256
+_OF_BYTE, _OF_PLACE = (np.random.default_rng(i).integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for i, n in ((8, 256), (9, _LONGEST + 1)))
+_OF_BYTE[32] = 0  # the space that ends a word
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a text whose words end in one space each."""
+    buffer = np.frombuffer(text, np.uint8)
+    ends = np.flatnonzero(buffer == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    place = np.arange(len(buffer), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), ends - starts + 1)
+    np.minimum(place, _LONGEST, out=place)
+    parts = _OF_PLACE[place]
+    del place
+    parts *= _OF_BYTE[buffer]
+    hashes = np.add.reduceat(parts, starts)
+    for i in np.flatnonzero(ends - starts > _LONGEST).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+    return hashes.view(np.int64)
+
+
 def _learned(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
     """The distinct tokens of a block and how often those that are learned from have each."""
     counts = Counter()  # the only dictionary of a block: a second one of its words would cost as much as its text
@@ -175,14 +180,38 @@ def _learned(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
     return counts
 
 
-def _hashes(words: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        words = _learned(_texts(row), row["held"])
-        yield from _pieces(row["block"], _hashes(words), np.fromiter(words.values(), np.int64, len(words)))
+        texts, held = _texts(row), row["held"]
+        keys, counts = [], []
+        for c in _chunks(texts):
+            words = _learned(texts[c], held[c])
+            keys.append(_word_hashes(b" ".join(words) + b" "))
+            counts.append(np.fromiter(words.values(), np.int64, len(words)))
+            if len(keys) > 4:
+                keys, counts = _summed(keys, counts)
+        if keys:
+            (keys,), (counts,) = _summed(keys, counts)
+            yield from _pieces(row["block"], keys, counts.astype(np.int64))
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The hash of every token of the texts, and how many each text has."""
+    return _word_hashes(b"".join([b" ".join((*((t,) if t else ()), END, b"")) for t in texts])), [t.count(b" ") + 1 + bool(t) for t in texts]
+
+
+def _own_counts(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """As _learned, by hash: the hashes in order and their counts."""
+    keys, counts = [], []
+    for c in _chunks(texts):
+        tokens, n = _tokens(texts[c])
+        distinct, inverse = np.unique(tokens, return_inverse=True)
+        keys.append(distinct)
+        counts.append(np.bincount(inverse[np.repeat(np.logical_not(held[c]), n)], minlength=len(distinct)))
+        if len(keys) > 4:
+            keys, counts = _summed(keys, counts)
+    (keys,), (counts,) = _summed(keys, counts)
+    return keys, counts
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -306,36 +335,42 @@ _SCORES = pa.schema([
 _SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
+def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands in the sorted known ones, which hold them all; in order, a search stays near the one before."""
+    order = np.argsort(keys)
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.searchsorted(known, keys[order])
+    return at
+
+
 def _scorer(tokens: int, distinct: int):
     total = np.log10(tokens + 0.1 * (distinct + 1))
 
     def score(packs: pa.Table, model: pa.Table) -> pa.Table:
         out = []
         kind, keys, values = (model.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.argsort(keys[kind == 1])
-        strings, logs = keys[kind == 1][order], values[kind == 1][order]
-        order = np.argsort(keys[kind == 0])
-        shared, counts = keys[kind == 0][order], values[kind == 0][order]
-        del kind, keys, values, order, model
+        strings, shared, counts = keys[kind == 1], keys[kind == 0], values[kind == 0]
+        order = np.argsort(strings)
+        strings, logs = strings[order], values[kind == 1][order]
+        del kind, keys, values, model, order
         for row in _rows(packs.to_batches()):
             texts, held = _texts(row), row["held"]
-            words = _learned(texts, held)
-            hashes, c = _hashes(words), np.fromiter(words.values(), np.float64, len(words))
-            if len(shared):
-                at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
-                c = np.where(shared[at] == hashes, counts[at], c)
-            for i, word in enumerate(words):  # from here on a word's place
-                words[word] = i
-            place, known, c = words, c > 0, np.log10(c + 0.1)
-            del hashes
+            if not texts:
+                continue
+            words, c = _own_counts(texts, held)
+            c[np.searchsorted(words, shared)] = counts
+            known, c = c > 0, np.log10(c + 0.1)
             for part in _chunks(texts):
-                ids, found, starts = _strings(texts[part])
-                logp = logs[np.searchsorted(strings, found)]
-                for doc_id, h, t, s in zip(row["doc_ids"][part], held[part], texts[part], starts.tolist(), strict=True):
-                    tokens_in = [*t.split(), END]
-                    at = np.fromiter(map(place.__getitem__, tokens_in), np.int64, len(tokens_in))
-                    code, n = float(logp[ids[s : s + len(t) + 1]].sum()), len(t) + 1
-                    out.append((doc_id, h, len(at), int(known[at].sum()), tokens, float(c[at].sum() - len(at) * total), code, n, -code / np.log10(2) / n))
+                logp = logs[_places(strings, _strings(texts[part]))]
+                tokens_in, n_tokens = _tokens(texts[part])
+                at = _places(words, tokens_in)
+                s = k = 0
+                for doc_id, h, t, m in zip(row["doc_ids"][part], held[part], texts[part], n_tokens, strict=True):
+                    n, mine = len(t) + 1, at[k : k + m]
+                    code = float(logp[s : s + n].sum())
+                    out.append((doc_id, h, m, int(known[mine].sum()), tokens, float(c[mine].sum() - m * total), code, n, -code / np.log10(2) / n))
+                    s, k = s + n, k + m
+                del logp, tokens_in, at
         return pa.Table.from_batches([batch(dict(zip(_SCORES.names, zip(*out, strict=True) if out else [[]] * len(_SCORES), strict=True)), _SCORES)])
 
     return score
@@ -363,6 +398,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tops = ranged.mapInArrow(_tops, "c1 int, node int, n0 double, n1 double, children double").groupBy("c1", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "children")))
     top = _Top(tops.collect())  # 256 * 255 rows at most
     logs = stored(ranged.mapInArrow(_log_probabilities(top), "key long, logp double"), "ctw-logs")
+    forget(counts)
     back = words.where(F.col("c") != F.col("n")).select("block", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("value"))
     back = back.unionByName(grams.select("block", "key").join(logs, "key").select("block", F.lit(1).alias("kind"), "key", F.col("logp").alias("value")))
     return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scorer(tokens, distinct), _SCORES_DDL)

@@ -372,3 +372,32 @@ def test_a_block_of_the_language_model_holds_its_distinct_strings_once(monkeypat
     assert few.keys() == many.keys() and all(many[k] * 7 == few[k] * 47 for k in few) and sum(few.values()) == 7 * (len(text) + 1)
     assert large < small + 48 * len(text) * 2
     assert lm_ctw._learned([b"a b a", b"b c"], [False, True]) == {b"a": 2, b"b": 1, b"c": 0, lm_ctw.END: 1}
+
+
+def test_scoring_a_block_holds_its_words_as_numbers(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [b" ".join(map(bytes, rng.integers(97, 101, (200, 20), np.uint8))) for _ in range(500)] + [b"", b"long " + b"x" * 300 + b" " + b"x" * 301]
+    held, ids = [i % 10 == 0 for i in range(len(texts))], list(range(len(texts)))
+    row = pa.RecordBatch.from_pydict({"block": [1], "doc_ids": [ids], "held": [held], "sizes": [[len(t) for t in texts]], "text": [pa.compress(b"".join(texts), "zstd", asbytes=True)]}, schema=lm_ctw._PACKS)
+    monkeypatch.setattr(lm_ctw, "CHUNK", 1 << 16)
+    strings = pa.Table.from_batches(lm_ctw._grams(iter([row])))["key"]
+    padded = [b"\xff" * 5 + t + b"\xff" for t in texts]
+    assert set(strings.to_pylist()) == {int.from_bytes(p[i - 5 : i][::-1] + p[i : i + 1]) for p in padded for i in range(5, len(p))}  # none across two texts
+    model = pa.table({"block": pa.array([1] * len(strings)), "kind": pa.array([1] * len(strings), pa.int32()), "key": strings, "value": pa.array([-1.0] * len(strings))})
+    learned = Counter(w for t, h in zip(texts, held, strict=True) if not h for w in (*t.split(), b"end"))
+    packs, score = pa.Table.from_batches([row]), lm_ctw._scorer(sum(learned.values()), len(learned))
+    score(packs, model)
+    tracemalloc.start()
+    got = score(packs, model).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = math.log10(sum(learned.values()) + 0.1 * (len(learned) + 1))
+    for r, t in zip(got, texts, strict=True):
+        words = (*t.split(), b"end")
+        assert (r["n_tokens"], r["n_known"], r["score"]) == (len(words), sum(learned[w] > 0 for w in words), -len(t) - 1.0)
+        assert math.isclose(r["base_score"], sum(math.log10(learned[w] + 0.1) - total for w in words), rel_tol=1e-9)
+    assert peak < 6 * sum(map(len, texts)), peak / sum(map(len, texts))
