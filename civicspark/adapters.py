@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import table
+from .io import spread, table, tasks
 
 #: The SQL twin of each adapter below.
 SQL = {
@@ -67,7 +67,8 @@ def sectors(spark: SparkSession, d: str) -> DataFrame:
 
 def law_dates(spark: SparkSession, d: str) -> DataFrame:
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    n = tasks(lines)
+    joined = spread(lines, n, "l_orderkey").join(spread(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy(F.col("l_partkey").alias("ticker")).agg(F.min(F.col("o_orderdate").cast("date")).alias("event_date"))
 
 

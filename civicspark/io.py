@@ -11,6 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task sorts or counts, about.
+TASK_ROWS = 1 << 19
+
+
+def tasks(*tables: DataFrame) -> int:
+    """So many tasks that none gets more rows as tables grow. Rows of Parquet are counted from its footers."""
+    return -(-sum(t.count() for t in tables) // TASK_ROWS)
+
+
+def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df dealt by keys to n tasks, where the session's own number of shuffle partitions is less; else as it is."""
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir, else the one set with setCheckpointDir)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as a
 from ..adapters import phrase, sql
 from ..functions import people as p
-from ..io import table
+from ..io import spread, table, tasks
 from ..operators import records, seats
 from ..registry import query
 
@@ -36,7 +36,9 @@ def holdings_index(spark, d):
 def traders_near(spark, d):
     """A ticker's traders by how often they traded near its event, then by how often at all."""
     gap = F.datediff("event_date", "trade_date")
-    n = a.trades(spark, d).join(a.law_dates(spark, d), "ticker").groupBy("ticker", "member").agg(F.count("*").alias("trades"), F.count_if(gap.between(-30, 75)).alias("near"))
+    trades = a.trades(spark, d)
+    parts = tasks(trades)
+    n = spread(trades, parts, "ticker").join(spread(a.law_dates(spark, d), parts, "ticker"), "ticker").groupBy("ticker", "member").agg(F.count("*").alias("trades"), F.count_if(gap.between(-30, 75)).alias("near"))
     return n.select("ticker", "member", "near", "trades", _rank("place", "ticker", order=[F.desc("near"), F.desc("trades"), "member"]))
 
 
