@@ -74,7 +74,8 @@ def law_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
     orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    n = tasks(orders, customer)
+    joined = spread(orders, n, "o_custkey").join(spread(customer, n, "c_custkey"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(
         F.col("o_orderkey").alias("filing"), F.col("c_name").alias("client"), F.col("n_name").alias("registrant"),
         F.col("c_mktsegment").alias("issue"), cents("o_totalprice").alias("cents"), F.col("o_orderdate").cast("date").alias("filed"),

@@ -54,9 +54,10 @@ def profile_bills(filings: DataFrame, activities: DataFrame, top: int = 24) -> D
 
 def merge_names(mentions: DataFrame) -> DataFrame:
     """bill, entity, kind, mentions, entity_cents: names that differ in case are one entity, called as its
-    row with most mentions; mentions add up, spends are the largest."""
+    row with most mentions; mentions add up, spends are the largest. A column key, if there, is the name in upper case."""
     head = F.max_by(F.struct("entity", "kind"), F.struct("mentions", "entity"))
-    merged = mentions.groupBy("bill", F.upper("entity").alias("__key")).agg(head.alias("h"), F.sum("mentions").alias("mentions"), F.max("entity_cents").alias("entity_cents"))
+    key = F.col("key") if "key" in mentions.columns else F.upper("entity")
+    merged = mentions.groupBy("bill", key.alias("__key")).agg(head.alias("h"), F.sum("mentions").alias("mentions"), F.max("entity_cents").alias("entity_cents"))
     return merged.select("bill", "h.entity", "h.kind", "mentions", "entity_cents")
 
 

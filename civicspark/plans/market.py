@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as a
 from ..adapters import sql
+from ..io import spread, tasks
 from ..operators import money, trades
 from ..registry import query
 
@@ -118,8 +119,11 @@ def lobby_profile_bills(spark, d):
     SELECT bill, arg_max(entity, (mentions, entity, kind)) AS entity, arg_max(kind, (mentions, entity, kind)) AS kind,
         CAST(sum(mentions) AS BIGINT) AS mentions, max(entity_cents) AS entity_cents FROM m GROUP BY bill, upper(entity)""", "filings", "activities"))
 def lobby_bill_merge_ci(spark, d):
-    named = a.activities(spark, d).join(a.filings(spark, d), "filing").withColumn("entity", F.when(F.col("filing") % 2 == 0, F.upper("client")).otherwise(F.col("client")))
-    return money.merge_names(named.groupBy("bill", "entity", F.col("issue").alias("kind")).agg(F.count("*").alias("mentions"), F.max("cents").alias("entity_cents")))
+    activities, filings = a.activities(spark, d), a.filings(spark, d).select("filing", "client", "issue", "cents")
+    n = tasks(activities)
+    named = spread(activities, n, "filing").join(spread(filings, n, "filing"), "filing").withColumn("entity", F.when(F.col("filing") % 2 == 0, F.upper("client")).otherwise(F.col("client")))
+    named = spread(named.withColumn("key", F.upper("entity")), n, "bill", "key")
+    return money.merge_names(named.groupBy("bill", "key", "entity", F.col("issue").alias("kind")).agg(F.count("*").alias("mentions"), F.max("cents").alias("entity_cents")))
 
 
 @query("lobby_entity_rank", "SELECT c_name, starts_with(lower(c_name), 'customer#0000001') AS starts, CAST(length(c_name) AS INTEGER) AS length FROM customer WHERE contains(lower(c_name), 'customer#0000001') ORDER BY 2 DESC, 3, 1 LIMIT 10")
