@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import adapters as a
 from ..adapters import phrase, sql
 from ..functions import text as t
-from ..io import table
+from ..io import spread, table, tasks
 from ..operators import checks as c
 from ..operators import records
 from ..registry import query
@@ -64,11 +64,13 @@ def consistency_more(spark, d):
 def reconcile_meetings(spark, d):
     """Meetings without a second source, with another date there, or with members present in one and absent in the other."""
     m = a.meetings(spark, d).select("meeting_id", "day")
+    m = spread(m, tasks(m), "meeting_id")
     s = m.where("meeting_id % 17 <> 0").select("meeting_id", F.when(F.col("meeting_id") % 31 == 0, F.date_add("day", 1)).otherwise(F.col("day")).alias("said"))
     seen = a.positions(spark, d).select(F.col("vote_id").alias("m"), "member", (F.col("position") == "abstain").alias("away"))
     other = seen.select("m", "member", F.when((F.col("m") + F.col("member")) % 23 == 0, ~F.col("away")).otherwise(F.col("away")).alias("away"))
-    sides = lambda df, c: df.groupBy("m", "member").agg(F.bool_or("away").alias(f"{c}_away"), F.bool_or(~F.col("away")).alias(f"{c}_here"))
-    both = sides(seen, "a").join(sides(other, "b"), ["m", "member"]).where("(a_away AND b_here) OR (a_here AND b_away)")
+    sides = seen.withColumnsRenamed({"away": "a"}).unionByName(other.withColumnsRenamed({"away": "b"}), True).where("m IS NOT NULL AND member IS NOT NULL")
+    sides = spread(sides, tasks(seen, other), "m", "member").groupBy("m", "member")  # grouped once, not joined
+    both = sides.agg(*[F.bool_or(x).alias(f"{c}_{w}") for c in ("a", "b") for w, x in (("away", F.col(c)), ("here", ~F.col(c)))]).where("(a_away AND b_here) OR (a_here AND b_away)")
     line = lambda df, check, meeting, n: df.select(F.lit(check).alias("check"), F.col(meeting).alias("meeting"), n.cast("int").alias("n"))
     return reduce(DataFrame.unionByName, [
         line(records.orphans(m, s, "meeting_id", "meeting_id"), "no_second_source", "meeting_id", F.lit(0)),

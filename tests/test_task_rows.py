@@ -10,7 +10,7 @@ from civicspark.plans import QUERIES
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["traders_near", "lobby_bill_merge_ci"])
+@pytest.mark.parametrize("name", ["traders_near", "lobby_bill_merge_ci", "reconcile_meetings"])
 def test_rows_of_a_table_decide_the_number_of_tasks(spark, monkeypatch, name):
     want = sorted(map(str, QUERIES[name](spark, DIR).collect()))
     monkeypatch.setattr(io, "TASK_ROWS", 300)
