@@ -39,10 +39,10 @@ def read_lines(documents: DataFrame, key: str, text: str, furniture: list[str])
     rows = documents.select(key, F.posexplode_outer(F.split(F.col(text), "\r\n|\n")).alias("place", "line")).where("line is not null").select(key, "place", line.alias("line"))
     for pattern in furniture:
         rows = rows.where(~F.col("line").rlike(pattern))
-    number, label = F.regexp_extract("line", ITEM, 1), F.lower(F.regexp_extract("line", LABEL, 1))
-    kind = F.when(F.col("line").rlike(ROLL), "roll").when(number != "", "item").when(label != "", "label").when(only_names(F.col("line")), "names").otherwise("text")
+    rows = rows.select(key, "place", "line", F.regexp_extract("line", ITEM, 1).alias("number"), F.lower(F.regexp_extract("line", LABEL, 1)).alias("label"))
+    kind = F.when(F.col("line").rlike(ROLL), "roll").when(F.col("number") != "", "item").when(F.col("label") != "", "label").when(only_names(F.col("line")), "names").otherwise("text")
     down = Window.partitionBy(key).orderBy("place")
-    rows = rows.select(key, "place", "line", kind.alias("kind"), number.alias("number"), label.alias("label"))
+    rows = rows.select(key, "place", "line", kind.alias("kind"), "number", "label")
     rows = rows.withColumn("nth", F.row_number().over(down)).withColumn("entry", F.count_if(F.col("kind") == "item").over(down).cast("int"))
     rows = rows.withColumn("item", F.last(F.when(F.col("kind") == "item", F.col("number")), True).over(down))
     rows = rows.withColumn("in_roll", F.coalesce(F.last(F.when(F.col("kind") == "roll", True).when(F.col("kind") == "item", False), True).over(down), F.lit(False)))
@@ -65,18 +65,34 @@ def positions(lines: DataFrame, key: str) -> DataFrame:
     return lists.groupBy(key, "entry", "position").agg(F.max_by(F.struct("item", "count", "members"), "open").alias("v")).select(key, "entry", "v.item", "position", "v.count", "v.members")
 
 
-def outcomes(lines: DataFrame, key: str) -> DataFrame:
-    """key, entry, item, result, enactment of every entry; what its last line of text says of either counts."""
+def _said() -> list[Column]:
+    """The item, result and enactment of a group of lines."""
     free = F.col("kind").isin("text", "names") & ~((F.col("kind") == "names") & (F.col("open") >= 0))
     result = F.when(free & F.col("line").contains(CARRIED), "pass").when(free & F.col("line").contains(FAILED), "fail")
     enactment = F.when(free, F.nullif(F.regexp_extract("line", ENACTMENT, 1), F.lit("")))
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("place")))
-    return lines.where("entry > 0").groupBy(key, "entry").agg(F.first("item").alias("item"), last(result).alias("result"), last(enactment).alias("enactment"))
+    return [F.first("item").alias("item"), last(result).alias("result"), last(enactment).alias("enactment")]
 
 
-def dates(lines: DataFrame, key: str) -> DataFrame:
-    """key, date (ISO) of every document: the first date on its first lines, or null."""
+def outcomes(lines: DataFrame, key: str) -> DataFrame:
+    """key, entry, item, result, enactment of every entry; what its last line of text says of either counts."""
+    return lines.where("entry > 0").groupBy(key, "entry").agg(*_said())
+
+
+def dated_outcomes(lines: DataFrame, key: str) -> DataFrame:
+    """outcomes with the date of each document, which has to have a key, in one reading of its lines."""
+    date = _date()
+    found = lines.where(F.col(key).isNotNull()).groupBy(key, "entry").agg(*_said(), F.min(F.when(date.isNotNull(), F.struct("place", date.alias("date")))).alias("first"))
+    return found.withColumn("date", F.min("first").over(Window.partitionBy(key))["date"]).where("entry > 0").drop("first")
+
+
+def _date() -> Column:
     parts = [F.regexp_extract("line", rf"({'|'.join(MONTHS)})\s+(\d{{1,2}}),\s+(\d{{4}})", i) for i in (1, 2, 3)]
     month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), parts[0]).cast("string"), 2, "0")
-    date = F.when((F.col("nth") <= COVER) & (parts[0] != ""), F.concat_ws("-", parts[2], month, F.lpad(parts[1], 2, "0")))
+    return F.when((F.col("nth") <= COVER) & (parts[0] != ""), F.concat_ws("-", parts[2], month, F.lpad(parts[1], 2, "0")))
+
+
+def dates(lines: DataFrame, key: str) -> DataFrame:
+    """key, date (ISO) of every document: the first date on its first lines, or null."""
+    date = _date()
     return lines.groupBy(key).agg(F.min_by(date, F.when(date.isNotNull(), F.col("place"))).alias("date"))
