@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -33,7 +33,7 @@ from .common import batch, shared_dir, text_bytes
 PART_BYTES = 32 << 20
 #: Parts that there are at most, so that their bounds stay a short list; beyond, parts grow.
 MOST_PARTS = 10_000
-#: Words, and as many of their stems, whose ids a Python worker remembers.
+#: Words, and as many of their stems and tails, whose ids a Python worker remembers.
 CACHE_WORDS = 1 << 19
 
 #: Latin letters that one composed code point stands for, with a tail of punctuation.
@@ -69,25 +69,27 @@ class _Coder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stem(self, stem: str) -> bytes:
-        found = self.stems.get(stem)
+    def _known(self, part: str, ids: Callable[[str], bytes]) -> bytes:
+        """The ids of a stem or of a tail. Any call may clear what is remembered, so they are returned, not looked up after."""
+        found = self.stems.get(part)
         if found is None:
+            found = ids(part)
             if len(self.stems) >= CACHE_WORDS:
                 self.stems.clear()
-            spelled = stem if stem.isascii() else "".join([_BYTE[b] for b in stem.encode()])
-            found = self.stems[stem] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+            self.stems[part] = found
         return found
 
+    def _stem(self, stem: str) -> bytes:
+        spelled = stem if stem.isascii() else "".join([_BYTE[b] for b in stem.encode()])
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+
     def _plain(self, word: str) -> bytes | None:
         m = _PLAIN.fullmatch(word)
         if m is None:
             return None
         stem, tail = m.groups()
-        if not tail:
-            return self._stem(stem.lower())
-        if tail not in self.stems:  # no stem holds punctuation
-            self.stems[tail] = self._library([tail])[0]
-        return self._stem(stem.lower()) + self.stems[tail]
+        ids = self._known(stem.lower(), self._stem)
+        return ids + self._known(tail, lambda t: self._library([t])[0]) if tail else ids  # no stem holds punctuation
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:

@@ -293,6 +293,24 @@ def test_token_files_of_odd_rows(spark):
     assert token_files.token_files(df.limit(0), path, vocabulary=49_408, end_id=2).collect() == []
 
 
+def test_tokens_of_more_stems_than_a_worker_remembers(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["one, two. three, four! one. ÉTÉ, five, six?! seven, two, eight.", "one. nine... ten, three,", "a! b!! c!!! d!!!! e!!!!! f, a!!!!!!"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    for most in range(1, 12):
+        monkeypatch.setattr(token_files, "CACHE_WORDS", most)
+        coder = token_files._Coder(path, "<u2")
+        assert coder.by_stem
+        for _ in range(3):
+            for t, x in zip(texts, want, strict=True):
+                assert coder.encode([t.encode()]) == [x]
+                assert len(coder.stems) <= most
+
+
 def test_archives_of_clashing_columns_and_many_files(spark, tmp_path):
     rows = [(i, f"u {i}", f"page {i % 7}" * 50, "x", "y") for i in range(200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, sha256 string, member string")
