@@ -5,6 +5,8 @@ import datetime as dt
 import duckdb
 import pytest
 
+from civicspark import io
+from civicspark.operators import records
 from civicspark.plans import ORACLES, QUERIES
 
 SCHEMAS = {
@@ -51,6 +53,32 @@ def test_pairs_reach_the_sink_without_a_shuffle_of_pairs(spark):
     assert text.startswith("Union") and "Aggregate" not in above
 
 
+@pytest.mark.parametrize("lists, rows_of_a_task", [((1, 1), 5), ((2, 3), 40), ((64, 1024), 1 << 19)])
+def test_pairs_of_keys_in_lists_of_any_length(same, monkeypatch, lists, rows_of_a_task):
+    monkeypatch.setattr(records, "LIST_KEYS", lists)
+    monkeypatch.setattr(io, "TASK_ROWS", rows_of_a_task)
+    key = lambda i: None if i == 0 else i if i % 9 else i // 9
+    rows = [(key(i), "n", ["c1", "c2", "c3", None][i % 7 % 4], f"t{i % 5}" if i % 11 else None, i % 3 if i % 13 else None, 0.0) for i in range(120)]
+    want = same("contest_matches", part=rows)
+    assert len(want) > 500 and any(place is None for place, _ in want)
+
+
+def test_a_row_is_written_few_times_before_it_meets(spark, tmp_path):
+    rows = [(i, "n", f"c{i % 4}", f"t{i % 2}", i % 3, 0.0) for i in range(4000)]
+    spark.createDataFrame(rows, SCHEMAS["part"]).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = set(written())
+    QUERIES["contest_matches"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert 0 < sum(n for stage, n in written().items() if stage not in before) < 8 * len(rows)
+
+
 def test_names_of_repeated_and_missing_keys(same):
     customers = [(k, "x", 1, 0.0, "x") for k in (0, 1, 2, 3, 4, 5, 6, 7, 10, 18, 8, 8, 8, None)]
     assert len(same("name_scores", customer=customers, supplier=[(k, "s", 1, 0.0) for k in (5, 0, 6, 1, 2, 3, 4, 4)])) == 11
